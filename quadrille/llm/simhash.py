@@ -16,6 +16,7 @@ other columns of the input are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from quadrille.llm.common import discard, parallelism, settle
 
 SEED = 42
 TILE = 65536
-CELLS = 4_000_000
+CELLS = 1_000_000
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -67,8 +68,10 @@ def _quarters(v: np.ndarray) -> np.ndarray:
     return np.bitwise_count(v.view(np.uint16).reshape(-1, 4)).astype(np.int8)
 
 
-def forest(a: np.ndarray, ida: np.ndarray, b: np.ndarray, idb: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as two arrays of ids, of the links between a and b (or within a)."""
+def forest(a: np.ndarray, ida: np.ndarray, b: np.ndarray, idb: np.ndarray, radius: int, same: bool, wide: tuple[np.ndarray, np.ndarray, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as two arrays of ids, of the links between a and b (or within a).
+
+    wide: further words of a and of b and the radius that holds over all words."""
     ids = ida if same else np.concatenate([ida, idb])
     root, base = np.arange(len(ids)), 0 if same else len(ida)
     left, right = [], []
@@ -89,6 +92,9 @@ def forest(a: np.ndarray, ida: np.ndarray, b: np.ndarray, idb: np.ndarray, radiu
             if same:
                 keep = rows[i] != near[j]
                 i, j = i[keep], j[keep]
+            if wide and len(i):
+                keep = np.concatenate([np.bitwise_count(wide[0][rows[i[x : x + 65536]]] ^ wide[1][near[j[x : x + 65536]]]).sum(1, dtype=np.int64) <= wide[2] for x in range(0, len(i), 65536)])
+                i, j = i[keep], j[keep]
             if not len(i):
                 continue
             who, first = np.unique(i, return_index=True)
@@ -104,28 +110,31 @@ def forest(a: np.ndarray, ida: np.ndarray, b: np.ndarray, idb: np.ndarray, radiu
     return ids[np.array(left, np.int64)], ids[np.array(right, np.int64)]
 
 
-def links(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+def links(nodes: DataFrame, radius: int, tile: int = TILE, all_words: int | None = None) -> DataFrame:
     """A spanning set of links (a, b) between ids whose fingerprints differ in at most radius bits.
 
-    nodes: id, fp with each fp once.  Only 65 counts reach the driver."""
+    nodes: id, fp; with all_words also wide (binary), which may differ in so
+    many bits over all words.  Only 65 counts reach the driver."""
     spark = nodes.sparkSession
     pop = F.bit_count("fp").cast("int")
     sizes = {r["pop"]: -(-r["n"] // tile) for r in nodes.groupBy(pop.alias("pop")).agg(F.count("*").alias("n")).collect()}
     parts = spark.createDataFrame([(p, n) for p, n in sizes.items()], "pop int, parts int")
     near = spark.createDataFrame([(p, q, n) for p in sizes for q, n in sizes.items() if abs(p - q) <= radius], "pop int, other int, other_parts int")
-    cells = nodes.withColumn("pop", pop).join(F.broadcast(parts), "pop").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    fits = all_words is not None
+    part = F.pmod(F.xxhash64("wide" if fits else "fp"), F.col("parts")).cast("int")
+    cells = nodes.withColumn("pop", pop).join(F.broadcast(parts), "pop").withColumn("part", part)
 
-    def pack(key, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"pop": key[0], "part": key[1], "ids": frame["id"].to_numpy(np.int64).tobytes(), "fps": frame["fp"].to_numpy(np.int64).tobytes()}])
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"pop": key[0], "part": key[1], "ids": frame["id"].to_numpy(np.int64).tobytes(), "fps": frame["fp"].to_numpy(np.int64).tobytes(), "wides": b"".join(frame["wide"]) if fits else b""}])
 
-    tiles = cells.groupBy("pop", "part").applyInPandas(pack, "pop int, part int, ids binary, fps binary")
+    tiles = cells.groupBy("pop", "part").applyInPandas(pack, "pop int, part int, ids binary, fps binary, wides binary")
     me, you = F.struct("pop", "part"), F.struct(F.col("other").alias("pop"), F.col("other_part").alias("part"))
     pairs = (
         tiles.join(F.broadcast(near), "pop")
         .withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
         .withColumn("lo", F.least(me, you))
         .withColumn("hi", F.greatest(me, you))
-        .select("lo", "hi", (me == F.col("lo")).alias("first"), "ids", "fps")
+        .select("lo", "hi", (me == F.col("lo")).alias("first"), "ids", "fps", "wides")
     )
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
@@ -133,7 +142,8 @@ def links(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
         fps = [np.frombuffer(x, np.uint64) for x in first["fps"]]
         ids = [np.frombuffer(x, np.int64) for x in first["ids"]]
         same = len(fps) == 1
-        left, right = forest(fps[0], ids[0], fps[-1], ids[-1], radius, same)
+        wide = [np.frombuffer(x, np.uint64).reshape(-1, WIDE) for x in first["wides"]] if fits else None
+        left, right = forest(fps[0], ids[0], fps[-1], ids[-1], radius, same, (wide[0], wide[-1], all_words) if fits else None)
         return pd.DataFrame({"a": left, "b": right})
 
     return pairs.groupBy("lo", "hi").applyInPandas(compare, "a long, b long")
@@ -177,7 +187,66 @@ def fingerprint_hex(column: str = "fp"):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def deduplicate(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """docs without the documents whose group of near copies holds a smaller doc_id; of rows that repeat the smallest id one stays."""
-    first = near_duplicates(docs, words, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+# --- similarity joins on wide fingerprints -----------------------------------
+
+WIDE = 8
+#: Bits of the first word that may differ: at a similarity of 0.8 about ten do, with a deviation of three.
+FIRST_RADIUS = 16
+
+
+def wide_fingerprint(text: str | None, words: int) -> bytes:
+    """SimHash of WIDE 64-bit words; the first is fingerprint(), the others mix each shingle's hash anew."""
+    tokens = (text or "").encode("utf-8", "replace").lower().split()
+    if not tokens:
+        return bytes(8 * WIDE)
+    joined = b" ".join(tokens)
+    length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    stop = np.cumsum(length + 1) - 1
+    start, n = stop - length, max(1, len(tokens) - words + 1)
+    stop = stop[words - 1 :] if len(tokens) >= words else stop[-1:]
+    count, digest = np.zeros(64 * WIDE, np.int64), xxhash.xxh64_intdigest
+    for at in range(0, n, 8192):
+        h = np.array([digest(joined[a:b], SEED) for a, b in zip(start[at : min(n, at + 8192)].tolist(), stop[at : at + 8192].tolist())], np.uint64)
+        all_ = np.empty((len(h), WIDE), np.uint64)
+        for k in range(WIDE):
+            x = h + np.uint64((k * 0x9E3779B97F4A7C15) % 2**64) if k else h
+            if k:
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                x = x ^ (x >> np.uint64(31))
+            all_[:, k] = x
+        count += np.unpackbits(all_.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(count * 2 > n, bitorder="little").tobytes()
+
+
+def wide_radius(similarity: float) -> int:
+    """Differing bits at which two shingle sets of this Jaccard similarity are expected, and one standard error."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * WIDE
+    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+    """doc_id, component_id: groups linked by a similarity of word shingles, as wide fingerprints tell it.
+
+    The first word is compared tile by tile as in links(); pairs within
+    FIRST_RADIUS are then held to wide_radius(similarity) over all words, where
+    unrelated texts, half of whose bits differ, never come."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            wide = [wide_fingerprint(t, words) for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(np.int64), "fp": [int.from_bytes(w[:8], "little", signed=True) for w in wide], "wide": wide})
+
+    usable = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    fps = settle(usable.mapInPandas(run, "doc_id long, fp long, wide binary"), "wide")
+    nodes = settle(fps.groupBy("fp", "wide").agg(F.min("doc_id").alias("id")), "wide-nodes")
+    found = components(links(nodes, FIRST_RADIUS, tile, wide_radius(similarity)))
+    named = nodes.join(found, "id", "left").select("wide", F.coalesce("component", "id").alias("component_id"))
+    return fps.join(named, "wide").select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without the documents whose group of near copies holds a smaller doc_id.  Rows that share an id stand or fall together."""
+    gone = similar(docs, words, similarity).groupBy("doc_id").agg(F.min("component_id").alias("c")).where("c < doc_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
