@@ -10,6 +10,7 @@ levels in one plan and no mutable state.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -97,33 +98,34 @@ def smooth_spline(grid: DataFrame, meta: GridMeta, smoothing: float, tolerance:
         for k in range(size):
             h[k] = gain * (k == 0) + (b1 * h[k - 1] if k > 0 else 0) + (b2 * h[k - 2] if k > 1 else 0)
 
-        def run(frame: pd.DataFrame, axis=axis, n=n, h=h) -> pd.DataFrame:
-            frame = frame.sort_values(axis)
-            v = frame["v"].to_numpy()
-            at = np.arange(size)
-            fold = np.abs((at + n - 1) % max(1, 2 * (n - 1)) - (n - 1))
-            first = (h * v[fold]).sum()
-            second = (h * v[np.abs((1 - at + n - 1) % max(1, 2 * (n - 1)) - (n - 1))]).sum()
-            f = np.empty(n)
-            f[0], f[1] = first, second
-            for k in range(2, n):
-                f[k] = gain * v[k] + b1 * f[k - 1] + b2 * f[k - 2]
-            mirror = np.abs((n - 1 + at + n - 1) % max(1, 2 * (n - 1)) - (n - 1))
-            g = np.empty(n)
-            g[-1] = (h * f[mirror]).sum()
-            g[-2] = (h * f[np.abs((n - 2 + at + n - 1) % max(1, 2 * (n - 1)) - (n - 1))]).sum()
-            for k in range(n - 3, -1, -1):
-                g[k] = gain * f[k] + b1 * g[k + 1] + b2 * g[k + 2]
-            if integer:
-                g = np.round(g)
-                if g.max(initial=0) > 65535 or g.min(initial=0) < -32768:
-                    raise OverflowError("smoothed values leave the range of the grid's type")
-            return frame.assign(v=g)
-
-        out = out.groupBy(*[a for a in AXES if a != axis]).applyInPandas(run, "z int, x int, y int, v double")
+        out = out.groupBy(*[a for a in AXES if a != axis]).applyInPandas(_recursion(axis, n, h, gain, b1, b2, integer), "z int, x int, y int, v double")
     return out
 
 
+def _recursion(axis: str, n: int, h: np.ndarray, gain: float, b1: float, b2: float, integer: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    size, turn = len(h), max(1, 2 * (n - 1))
+    at = np.arange(size)
+    mirror = lambda i: np.abs((i + n - 1) % turn - (n - 1))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(axis)
+        v = frame["v"].to_numpy()
+        f, g = np.empty(n), np.empty(n)
+        f[0], f[1] = (h * v[mirror(at)]).sum(), (h * v[mirror(1 - at)]).sum()
+        for k in range(2, n):
+            f[k] = gain * v[k] + b1 * f[k - 1] + b2 * f[k - 2]
+        g[-1], g[-2] = (h * f[mirror(n - 1 + at)]).sum(), (h * f[mirror(n - 2 + at)]).sum()
+        for k in range(n - 3, -1, -1):
+            g[k] = gain * f[k] + b1 * g[k + 1] + b2 * g[k + 2]
+        if integer:
+            g = np.round(g)
+            if g.max(initial=0) > 65535 or g.min(initial=0) < -32768:
+                raise OverflowError("smoothed values leave the range of the grid's type")
+        return frame.assign(v=g)
+
+    return run
+
+
 def inverse_spline(grid: DataFrame, meta: GridMeta) -> DataFrame:
     """[1, 4, 1] / 6 along each axis of more than two cells, mirrored ends."""
     for a in ("y", "x", "z"):

@@ -135,11 +135,11 @@ def convolve_downsampled(cells: DataFrame, meta: GridMeta, kernel: Stencil, refl
     return convolve(cells, meta, downsampled_kernels(kernel, meta, normalise), reflect)
 
 
-def convolve_separable(cells: DataFrame, meta: GridMeta, lines: dict[str, list[Stencil]], reflect: bool = False) -> DataFrame:
+def convolve_separable(cells: DataFrame, meta: GridMeta, lines: dict[str, list[Stencil]], reflect: bool = False, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """One pass for y, x, z; means of finer cells are taken anew in each pass, so this is not the dense convolution."""
     for a in ("y", "x", "z"):
         if a in lines and meta.size[a] > 1:
-            cells = convolve(cells, meta, lines[a], reflect)
+            cells = settle(convolve(cells, meta, lines[a], reflect))
     return cells
 
 
@@ -220,7 +220,7 @@ def adaptive_extreme(cells: DataFrame, meta: GridMeta, how: str, tree_smooth: in
     deepest = max(0, meta.l_max - 1 - level_delta)
     coarse = particles.separable_face_filter(inner.where(F.col("level") <= deepest), meta, (0.25, 0.5, 0.25), tree_smooth, True, settle)
     inner = coarse.unionByName(inner.where(F.col("level") > deepest))
-    leaves = particles.push_to_leaves(cells, particles.push_down(inner, meta, level_delta))
+    leaves = settle(particles.push_to_leaves(cells, particles.push_down(settle(inner), meta, level_delta)))
     return particles.separable_face_filter(leaves, meta, (0.25, 0.5, 0.25), smooth, False, settle)
 
 

@@ -256,11 +256,11 @@ def face_filter(cells: DataFrame, meta: GridMeta, taps: tuple[float, float, floa
 
 
 def separable_face_filter(cells: DataFrame, meta: GridMeta, taps: tuple[float, float, float], repeats: int = 1, same_level: bool = False, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """face_filter over y, x, z, repeated; settle cuts the lineage after each repeat."""
+    """face_filter over y, x, z, repeated.  A pass reads its input several times, so settle should write and cut each."""
     for _ in range(repeats):
         for axis in ("y", "x", "z"):
-            cells = face_filter(cells, meta, taps, axis, same_level)
-        cells = settle(cells)
+            if not same_level or meta.size[axis] > 1:
+                cells = settle(face_filter(cells, meta, taps, axis, same_level))
     return cells
 
 
@@ -275,7 +275,7 @@ def tile(cells: DataFrame, meta: GridMeta, by: dict[str, int]) -> tuple[DataFram
     for a, k in by.items():
         if k > 1:
             per = F.call_function("shiftright", F.lit(meta.size[a]), F.lit(big.l_max) - F.col("level"))
-            out = out.withColumn(a, F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i, a=a, per=per: (F.col(a) + i * per).cast("int"))))
+            out = out.withColumn(a, F.explode(F.array(*[(F.col(a) + i * per).cast("int") for i in range(k)])))
     return out, big
 
 

@@ -57,6 +57,21 @@ def cell(spark, d, which: str, how: str = "mean") -> tuple[DataFrame, GridMeta]:
     return particles.sample(leaves, g, meta, how), meta
 
 
+def _settle(s):
+    """Cut the lineage in the shared folder that the session names; set one only where there is none."""
+    import tempfile
+
+    if not (s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()):
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quadrille-"))
+    return lambda df: df.checkpoint()
+
+
+def kept(s, d, which: str) -> tuple[DataFrame, GridMeta]:
+    """cell(), settled: filters read their input several times."""
+    c, meta = cell(s, d, which)
+    return _settle(s)(c.select(*CELL, "v")), meta
+
+
 def s_leaf(q: o.Sql, which: str) -> str:
     _, meta, p = CASES[which]
     return o.leaves(q, which, meta, p.rel_error, p.grad_th)
@@ -332,9 +347,9 @@ def _s_neigh(q, lf, meta, name="nb"):
     return q.add(name, " UNION ALL ".join(parts))
 
 
-query("r080_neighbours", lambda q: f"SELECT * FROM {_s_neigh(q, s_leaf(q, 'g2'), G2)}")(lambda s, d: particles.neighbours(leaf(s, d, "g2")[1], G2).select(*CELL, "face", "nl", "nz", "nx", "ny"))
-query("r081_number_of_neighbours", lambda q: f"SELECT {C}, face, count(*) AS n FROM {_s_neigh(q, s_leaf(q, 'g2'), G2)} GROUP BY {C}, face")(lambda s, d: particles.neighbours(leaf(s, d, "g2")[1], G2).groupBy(*CELL, "face").agg(F.count("*").alias("n")))
-query("r082_same_level_neighbours", lambda q: f"SELECT {C}, face, nz, nx, ny FROM {_s_neigh(q, s_leaf(q, 'g2'), G2)} WHERE nl = level")(lambda s, d: particles.same_level_neighbours(leaf(s, d, "g2")[1], G2))
+query("r080_neighbours", lambda q: f"SELECT * FROM {_s_neigh(q, s_leaf(q, 'g2'), G2)}")(lambda s, d: particles.neighbours(kept(s, d, "g2")[0], G2).select(*CELL, "face", "nl", "nz", "nx", "ny"))
+query("r081_number_of_neighbours", lambda q: f"SELECT {C}, face, count(*) AS n FROM {_s_neigh(q, s_leaf(q, 'g2'), G2)} GROUP BY {C}, face")(lambda s, d: particles.neighbours(kept(s, d, "g2")[0], G2).groupBy(*CELL, "face").agg(F.count("*").alias("n")))
+query("r082_same_level_neighbours", lambda q: f"SELECT {C}, face, nz, nx, ny FROM {_s_neigh(q, s_leaf(q, 'g2'), G2)} WHERE nl = level")(lambda s, d: particles.same_level_neighbours(kept(s, d, "g2")[0], G2))
 
 
 def _s_tree_neigh(q, name="tn"):
@@ -423,11 +438,11 @@ def s_conv(q, which, kernels, reflect, name="cv"):
 
 _G5 = filters.gaussian(1.0, {"z": 1, "x": 5, "y": 5})
 _G5L = filters.gaussian(1.0, {"z": 1, "x": 1, "y": 5})
-query("r094_convolve_reflect", lambda q: f"SELECT {C}, {r6()} FROM {s_conv(q, 'g2', [_G5], True)}")(lambda s, d: rounded(filters.convolve(*cell(s, d, "g2"), _G5, True)))
-query("r095_convolve_zero", lambda q: f"SELECT {C}, {r6()} FROM {s_conv(q, 'g2', [_G5], False)}")(lambda s, d: rounded(filters.convolve(*cell(s, d, "g2"), _G5, False)))
-query("r096_convolve_downsampled", lambda q: f"SELECT {C}, {r6()} FROM {s_conv(q, 'g2', filters.downsampled_kernels(_G5, G2, True), True)}")(lambda s, d: rounded(filters.convolve_downsampled(*cell(s, d, "g2"), _G5, True, True)))
-query("r098_convolve_line", lambda q: f"SELECT {C}, {r6()} FROM {s_conv(q, 'g1', [_G5L], True)}")(lambda s, d: rounded(filters.convolve(*cell(s, d, "g1"), _G5L, True)))
-query("r137_convolve_volume", lambda q: f"SELECT {C}, {r6()} FROM {s_conv(q, 'g3', [filters.mean_kernel(3)], True)}")(lambda s, d: rounded(filters.convolve(*cell(s, d, "g3"), filters.mean_kernel(3), True)))
+query("r094_convolve_reflect", lambda q: f"SELECT {C}, {r6()} FROM {s_conv(q, 'g2', [_G5], True)}")(lambda s, d: rounded(filters.convolve(*kept(s, d, "g2"), _G5, True)))
+query("r095_convolve_zero", lambda q: f"SELECT {C}, {r6()} FROM {s_conv(q, 'g2', [_G5], False)}")(lambda s, d: rounded(filters.convolve(*kept(s, d, "g2"), _G5, False)))
+query("r096_convolve_downsampled", lambda q: f"SELECT {C}, {r6()} FROM {s_conv(q, 'g2', filters.downsampled_kernels(_G5, G2, True), True)}")(lambda s, d: rounded(filters.convolve_downsampled(*kept(s, d, "g2"), _G5, True, True)))
+query("r098_convolve_line", lambda q: f"SELECT {C}, {r6()} FROM {s_conv(q, 'g1', [_G5L], True)}")(lambda s, d: rounded(filters.convolve(*kept(s, d, "g1"), _G5L, True)))
+query("r137_convolve_volume", lambda q: f"SELECT {C}, {r6()} FROM {s_conv(q, 'g3', [filters.mean_kernel(3)], True)}")(lambda s, d: rounded(filters.convolve(*kept(s, d, "g3"), filters.mean_kernel(3), True)))
 
 
 def _s_sep(q):
@@ -440,7 +455,7 @@ def _s_sep(q):
 
 def _sep(s, d):
     k = filters.gaussian(1.0, {"z": 1, "x": 1, "y": 3})
-    return filters.convolve_separable(*cell(s, d, "g2"), {"y": [k], "x": [k.transpose(0, 2, 1)]}, True)
+    return filters.convolve_separable(*kept(s, d, "g2"), {"y": [k], "x": [k.transpose(0, 2, 1)]}, True, _settle(s))
 
 
 query("r097_convolve_separable", lambda q: f"SELECT {C}, {r6()} FROM {_s_sep(q)}")(lambda s, d: rounded(_sep(s, d)))
@@ -454,11 +469,11 @@ def s_patch(q, inner):
 
 
 query("r099_generic_range", lambda q: f"SELECT {C}, round(max(nv) - min(nv), 6) AS v FROM {s_patch(q, None)} GROUP BY {C}")(
-    lambda s, d: rounded(filters.generic_filter(*cell(s, d, "g2"), _BOX, lambda p: F.array_max(p) - F.array_min(p)))
+    lambda s, d: rounded(filters.generic_filter(*kept(s, d, "g2"), _BOX, lambda p: F.array_max(p) - F.array_min(p)))
 )
-query("r100_median", lambda q: f"SELECT {C}, round(list_sort(list(nv))[count(*) // 2 + 1], 6) AS v FROM {s_patch(q, None)} GROUP BY {C}")(lambda s, d: rounded(filters.median_filter(*cell(s, d, "g2"), _BOX)))
-query("r101_min_filter", lambda q: f"SELECT {C}, {r6('v')} FROM (SELECT {C}, min(nv) AS v FROM {s_patch(q, 'min')} GROUP BY {C})")(lambda s, d: rounded(filters.min_filter(*cell(s, d, "g2"), _BOX)))
-query("r101_max_filter", lambda q: f"SELECT {C}, {r6('v')} FROM (SELECT {C}, max(nv) AS v FROM {s_patch(q, 'max')} GROUP BY {C})")(lambda s, d: rounded(filters.max_filter(*cell(s, d, "g2"), _BOX)))
+query("r100_median", lambda q: f"SELECT {C}, round(list_sort(list(nv))[count(*) // 2 + 1], 6) AS v FROM {s_patch(q, None)} GROUP BY {C}")(lambda s, d: rounded(filters.median_filter(*kept(s, d, "g2"), _BOX)))
+query("r101_min_filter", lambda q: f"SELECT {C}, {r6('v')} FROM (SELECT {C}, min(nv) AS v FROM {s_patch(q, 'min')} GROUP BY {C})")(lambda s, d: rounded(filters.min_filter(*kept(s, d, "g2"), _BOX)))
+query("r101_max_filter", lambda q: f"SELECT {C}, {r6('v')} FROM (SELECT {C}, max(nv) AS v FROM {s_patch(q, 'max')} GROUP BY {C})")(lambda s, d: rounded(filters.max_filter(*kept(s, d, "g2"), _BOX)))
 query("r102_downsampled_stencils")(lambda s, d: rounded(filters.stencil_table(s, filters.downsampled_kernels(_G5, G2), G2), "w"))
 query("r103_rescaled_stencils")(lambda s, d: rounded(filters.stencil_table(s, filters.rescaled_kernels(filters.difference("y"), G2), G2), "w"))
 query("r104_kernels")(lambda s, d: rounded(s.createDataFrame([(n, *r) for n, k in (("gauss", filters.gaussian(1.0, 3)), ("mean", filters.mean_kernel(3)), ("sobel", filters.sobel("y")), ("sobel2", filters.sobel("x", 1.0, ("x", "y")))) for r in filters.rows_of(k)], "name string, oz int, ox int, oy int, w double"), "w"))
@@ -471,8 +486,8 @@ def _s_face(q, axis="y", taps=(0.25, 0.5, 0.25)):
     return f"SELECT c.level, c.z, c.x, c.y, round({taps[1]} * c.v + {taps[2]} * coalesce(f.p, c.v) + {taps[0]} * coalesce(f.m, c.v), 6) AS v FROM {c} c LEFT JOIN fm f ON c.level = f.level AND c.z = f.z AND c.x = f.x AND c.y = f.y"
 
 
-query("r105_face_filter", _s_face)(lambda s, d: rounded(particles.face_filter(*cell(s, d, "g2"), (0.25, 0.5, 0.25), "y")))
-query("r106_separable_face_filter")(lambda s, d: rounded(particles.separable_face_filter(*cell(s, d, "g2"), (0.25, 0.5, 0.25))))
+query("r105_face_filter", _s_face)(lambda s, d: rounded(particles.face_filter(*kept(s, d, "g2"), (0.25, 0.5, 0.25), "y")))
+query("r106_separable_face_filter")(lambda s, d: rounded(particles.separable_face_filter(*kept(s, d, "g2"), (0.25, 0.5, 0.25), settle=_settle(s))))
 
 
 def _s_tree_face(q, axis="x", taps=(0.25, 0.5, 0.25)):
@@ -481,14 +496,14 @@ def _s_tree_face(q, axis="x", taps=(0.25, 0.5, 0.25)):
     return f"SELECT c.level, c.z, c.x, c.y, round({taps[1]} * c.v + {taps[2]} * coalesce(f.p, c.v) + {taps[0]} * coalesce(f.m, c.v), 6) AS v FROM {t} c LEFT JOIN fm f ON c.level = f.level AND c.z = f.z AND c.x = f.x AND c.y = f.y"
 
 
-query("r107_tree_face_filter", _s_tree_face)(lambda s, d: rounded(particles.face_filter(particles.fold_tree(cell(s, d, "g2")[0], "max"), G2, (0.25, 0.5, 0.25), "x", True)))
+query("r107_tree_face_filter", _s_tree_face)(lambda s, d: rounded(particles.face_filter(particles.fold_tree(kept(s, d, "g2")[0], "max"), G2, (0.25, 0.5, 0.25), "x", True)))
 
 
 # --- numerics ------------------------------------------------------------------------
 
 for _a in ("y", "x"):
-    query(f"r108_gradient_cfd_{_a}", lambda q, a=_a: f"SELECT {C}, {r6()} FROM {s_conv(q, 'g2', filters.rescaled_kernels(filters.difference(a), G2), True)}")(lambda s, d, a=_a: rounded(filters.gradient_cfd(*cell(s, d, "g2"), a)))
-query("r109_gradient_sobel", lambda q: f"SELECT {C}, {r6()} FROM {s_conv(q, 'g2', filters.rescaled_kernels(filters.sobel('y', 1.0, ('x', 'y')), G2), True)}")(lambda s, d: rounded(filters.gradient_sobel(*cell(s, d, "g2"), "y")))
+    query(f"r108_gradient_cfd_{_a}", lambda q, a=_a: f"SELECT {C}, {r6()} FROM {s_conv(q, 'g2', filters.rescaled_kernels(filters.difference(a), G2), True)}")(lambda s, d, a=_a: rounded(filters.gradient_cfd(*kept(s, d, "g2"), a)))
+query("r109_gradient_sobel", lambda q: f"SELECT {C}, {r6()} FROM {s_conv(q, 'g2', filters.rescaled_kernels(filters.sobel('y', 1.0, ('x', 'y')), G2), True)}")(lambda s, d: rounded(filters.gradient_sobel(*kept(s, d, "g2"), "y")))
 
 
 def _s_mag(q, how):
@@ -500,7 +515,7 @@ def _s_mag(q, how):
 
 
 for _how in ("cfd", "sobel"):
-    query(f"r110_gradient_magnitude_{_how}", lambda q, h=_how: _s_mag(q, h))(lambda s, d, h=_how: rounded(filters.gradient_magnitude(*cell(s, d, "g2"), h)))
+    query(f"r110_gradient_magnitude_{_how}", lambda q, h=_how: _s_mag(q, h))(lambda s, d, h=_how: rounded(filters.gradient_magnitude(*kept(s, d, "g2"), h)))
 
 
 def _s_std(q):
@@ -509,23 +524,14 @@ def _s_std(q):
     return f"SELECT {C}, round(sqrt(greatest(sum(w * nv * nv) - sum(w * nv) * sum(w * nv), 0.0)), 4) AS v FROM {g} GROUP BY {C}"
 
 
-query("r111_local_std", _s_std)(lambda s, d: filters.local_std(*cell(s, d, "g2"), _BOX).withColumn("v", F.round("v", 4)))
-
-
-def _settle(s):
-    """Cut the lineage in the shared folder that the session names; set one only where there is none."""
-    import tempfile
-
-    if not (s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()):
-        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quadrille-"))
-    return lambda df: df.checkpoint()
+query("r111_local_std", _s_std)(lambda s, d: filters.local_std(*kept(s, d, "g2"), _BOX).withColumn("v", F.round("v", 4)))
 
 
 for _how in ("min", "max"):
-    query(f"r112_adaptive_{_how}")(lambda s, d, h=_how: rounded(filters.adaptive_extreme(*cell(s, d, "g2"), h, 1, 2, 1, _settle(s))))
-query("r113_richardson_lucy")(lambda s, d: rounded(filters.richardson_lucy(*cell(s, d, "g2"), filters.gaussian(1.0, {"z": 1, "x": 3, "y": 3}), 2, settle=_settle(s))))
-query("r114_richardson_lucy_tv")(lambda s, d: rounded(filters.richardson_lucy(*cell(s, d, "g2"), filters.gaussian(1.0, {"z": 1, "x": 3, "y": 3}), 1, tv=0.01, settle=_settle(s))))
-query("r115_div_norm_grad")(lambda s, d: rounded(filters.div_norm_grad(*cell(s, d, "g2"), settle=_settle(s))))
+    query(f"r112_adaptive_{_how}")(lambda s, d, h=_how: rounded(filters.adaptive_extreme(*kept(s, d, "g2"), h, 1, 2, 1, _settle(s))))
+query("r113_richardson_lucy")(lambda s, d: rounded(filters.richardson_lucy(*kept(s, d, "g2"), filters.gaussian(1.0, {"z": 1, "x": 3, "y": 3}), 2, settle=_settle(s))))
+query("r114_richardson_lucy_tv")(lambda s, d: rounded(filters.richardson_lucy(*kept(s, d, "g2"), filters.gaussian(1.0, {"z": 1, "x": 3, "y": 3}), 1, tv=0.01, settle=_settle(s))))
+query("r115_div_norm_grad")(lambda s, d: rounded(filters.div_norm_grad(*kept(s, d, "g2"), settle=_settle(s))))
 
 
 # --- reconstruction -------------------------------------------------------------------
@@ -542,7 +548,7 @@ def _s_coarse(q):
     return f"SELECT {K}, {r6()} FROM {den} WHERE l = 3"
 
 
-query("r117_constant_coarse", _s_coarse)(lambda s, d: rounded(reconstruct.constant(*cell(s, d, "g2"), reconstruct.Patch(delta=-2))))
+query("r117_constant_coarse", _s_coarse)(lambda s, d: rounded(reconstruct.constant(*kept(s, d, "g2"), reconstruct.Patch(delta=-2))))
 query("r117_constant_fine", lambda q: f"SELECT z, CAST(2 * x + i AS INTEGER) AS x, CAST(2 * y + j AS INTEGER) AS y, CAST(v AS DOUBLE) AS v FROM {o.pixels(q, s_cell(q, 'g2'), G2)} CROSS JOIN (VALUES (0), (1)) a(i) CROSS JOIN (VALUES (0), (1)) b(j)")(
     lambda s, d: reconstruct.constant(*cell(s, d, "g2"), reconstruct.Patch(delta=1)).withColumn("v", F.col("v").cast("double"))
 )
@@ -561,12 +567,12 @@ def _s_smooth(q, scale=2.0, cap=20):
     return f"SELECT {K}, {r6()} FROM {prev}"
 
 
-query("r119_smooth", _s_smooth)(lambda s, d: rounded(reconstruct.smooth(*cell(s, d, "g2"))))
-query("r121_interpolated")(lambda s, d: rounded(reconstruct.interpolated(*cell(s, d, "g2"))))
+query("r119_smooth", _s_smooth)(lambda s, d: rounded(reconstruct.smooth(*kept(s, d, "g2"))))
+query("r121_interpolated")(lambda s, d: rounded(reconstruct.interpolated(*kept(s, d, "g2"))))
 
 _CAM = reconstruct.Camera(radius=60.0, theta=0.4, origin=(32.0, 32.0, 8.0), target=(32.0, 32.0, 8.0))
 query("r123_raycast")(lambda s, d: rounded(reconstruct.raycast(*cell(s, d, "g3"), _CAM)))
-query("r124_raycast_patch")(lambda s, d: rounded(reconstruct.raycast_patch(*cell(s, d, "g3"), _CAM, reconstruct.Patch((0, 0, 0), (4, 20, 20), -1))))
+query("r124_raycast_patch")(lambda s, d: rounded(reconstruct.raycast_patch(*kept(s, d, "g3"), _CAM, reconstruct.Patch((0, 0, 0), (4, 20, 20), -1))))
 query("r125_raycast_pixels")(lambda s, d: rounded(reconstruct.raycast_pixels(grids.volume(s, d), G3, _CAM)))
 query("r127_raycast_jitter")(lambda s, d: rounded(reconstruct.raycast(*cell(s, d, "g3"), _CAM, jitter=0.5, seed=3)))
 
@@ -591,7 +597,7 @@ query("r132_lossy_round_trip", _s_lossy)(lambda s, d: compress.decompress(compre
 
 
 def _denoise(s, d):
-    c, meta = cell(s, d, "g2")
+    c, meta = kept(s, d, "g2")
     return denoise.apply(c, meta, denoise.train(c, meta, fine=1, coarse=1))
 
 
@@ -599,7 +605,7 @@ query("r135_denoise")(lambda s, d: _denoise(s, d).withColumn("v", F.round("v", 4
 
 
 def _two(s, d):
-    a = cell(s, d, "g2")[0].select(*CELL, F.col("v").cast("double").alias("v"))
+    a = kept(s, d, "g2")[0].select(*CELL, F.col("v").cast("double").alias("v"))
     b = particles.sample(convert.convert(grids.image(s, d), G2, convert.Parameters(rel_error=2.0, grad_th=1.5, constant_scale=True)), grids.image(s, d), G2, "max").select(*CELL, F.col("v").cast("double").alias("v"))
     return a, b
 
