@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm.common import fresh
+
 MIN_WORDS = 8
 _UNIT = re.compile(r"[^\n]*?[.!?…][\"'”’)\]]*(?=\s|$)|[^\n]+", re.M)
 
@@ -109,13 +111,14 @@ def cut(text: str | None, later: np.ndarray, min_words: int) -> tuple[str | None
 
 def apply(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text cut, and n_units, spans (array of start, stop in the original text) added or replaced."""
-    keyed = docs.withColumn("__row", F.xxhash64("text"))
-    ids = keyed.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row"), "text")
+    row, doc_, row_, later_ = (fresh(docs, x) for x in ("__row", "__doc", "__r", "__later"))
+    keyed = docs.withColumn(row, F.xxhash64("text"))
+    ids = keyed.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), "text")
     occ = occurrences(ids)
     first = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.col("first.doc_id").alias("fd"), F.col("first.row").alias("fr"))
-    later = occ.join(first, ["h1", "h2"]).where("doc_id <> fd or row <> fr").groupBy("doc_id", "row").agg(F.collect_set("pos").alias("__later")).select(F.col("doc_id").alias("__doc"), F.col("row").alias("__r"), "__later")
+    later = occ.join(first, ["h1", "h2"]).where("doc_id <> fd or row <> fr").groupBy("doc_id", "row").agg(F.collect_set("pos").alias(later_)).select(F.col("doc_id").alias(doc_), F.col("row").alias(row_), later_)
     base = [c for c in docs.columns if c not in ("n_units", "spans")]
-    joined = keyed.join(later, (F.col("doc_id") == F.col("__doc")) & (F.col("__row") == F.col("__r")), "left").select(*base, "__later")
+    joined = keyed.join(later, (F.col("doc_id") == F.col(doc_)) & (F.col(row) == F.col(row_)), "left").select(*base, later_)
     place = base.index("text")
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*base).schema), "n_units int", "spans array<struct<start:int,stop:int>>"])
 
@@ -124,8 +127,8 @@ def apply(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
         for batch in frames:
             texts, n, spans = [], [], []
-            for text, later_ in zip(batch.column(place).to_pylist(), batch.column(len(base)).to_pylist()):
-                t, s, k = cut(text, np.array(later_ or [], np.int64), min_words)
+            for text, places in zip(batch.column(place).to_pylist(), batch.column(len(base)).to_pylist()):
+                t, s, k = cut(text, np.array(places or [], np.int64), min_words)
                 texts.append(t)
                 n.append(k)
                 spans.append([{"start": a, "stop": b} for a, b in s])

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "</w>"
+#: Before a special token among words; no text holds a lone surrogate after normalising to words.
+SPECIAL = "\udfff"
 KEPT_WORDS = 300_000
 SLICE = 1_000_000
 _LOADED: dict[str, WordBPE] = {}
@@ -122,7 +124,7 @@ class WordBPE:
         out, at = [], 0
         for m in self.split.finditer(text):
             out += self.word.findall(self.normal(text[at : m.start()]))
-            out.append("\0" + m.group())
+            out.append(SPECIAL + m.group())
             at = m.end()
         return out + self.word.findall(self.normal(text[at:]))
 
@@ -140,7 +142,7 @@ class WordBPE:
             self.apart = {k: v for k, v in self.apart.items() if v} if len(self.apart) < 10 * KEPT_WORDS else {}
         new = {}
         for w in words - self.known.keys():
-            if w[0] == "\0":
+            if w[0] == SPECIAL and w[1:] in self.special:
                 t = w[1:]
                 self.known[w] = (str(self.special[t]), t, 1)
             else:
