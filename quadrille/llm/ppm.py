@@ -37,10 +37,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm.common import small_batches
+
 ORDER, LOW = 5, 2
 END, PAD, SYMBOLS = 256, 257, 257
 BITS = 9
-BLOCK_BYTES, CHUNK_BYTES = 12_000_000, 2_000_000
+BLOCK_BYTES, CHUNK_BYTES = 9_000_000, 2_000_000
 ALPHA = 0.1
 U = np.uint64
 
@@ -153,7 +155,7 @@ def survey(docs: DataFrame, order: int) -> tuple[dict[int, tuple[np.ndarray, np.
         g, c = grouped(*map(np.concatenate, zip(*held))) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         yield pd.DataFrame({"g": np.concatenate([g.astype(np.int64), -1 - np.arange(4)]), "n": np.concatenate([c.astype(np.int64), totals])})
 
-    rows = docs.select("text", "train").mapInPandas(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
+    rows = small_batches(docs).select("text", "train").mapInPandas(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
     g, n = rows["g"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
     tot = dict(zip(("bytes", "docs", "tokens", "train_docs"), (int(n[g == -1 - i].sum()) for i in range(4))))
     keep = np.argsort(g[g >= 0])
