@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import settle
+from quadrille.llm.common import settle, small_batches
 
 CAPACITY, END_ID = 2048, 0
 _TOOLS: dict = {}
@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, tools: tuple[str, str, str], capacity: int = CAPACIT
                     k += 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "k", "place"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task long, k long, place long")
+    return small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task long, k long, place long")
 
 
 def reduce(count: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -202,7 +202,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     base = settle(per_task.withColumn("base", F.coalesce(before, F.lit(0))), "bases")
     slots = plan({r["length"]: r["n"] for r in base.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
-    ranked = items.join(base.select("task", "length", "base"), ["task", "length"]).withColumn("rank", F.col("base") + F.col("place")).drop("base")
+    ranked = items.join(base.select("task", "length", "base").hint("merge"), ["task", "length"]).withColumn("rank", F.col("base") + F.col("place")).drop("base")
     names = [c for c in items.columns]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema), "sequence_id long, offset long"])
 
