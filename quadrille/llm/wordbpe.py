@@ -25,11 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm.common import small_batches
+
 MARK = "</w>"
 #: Before a special token among words; no text holds a lone surrogate after normalising to words.
 SPECIAL = "\udfff"
-KEPT_WORDS = 300_000
-SLICE = 1_000_000
+KEPT_WORDS = 500_000
+SLICE = 3_000_000
 _LOADED: dict[str, WordBPE] = {}
 
 
@@ -95,18 +97,21 @@ class WordBPE:
     def tokens(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """Depth-first over the trie of the words (in letters of the byte alphabet)."""
         state: list[str | None] = [None]
-        previous, mid, end, fits = "", self.mid, self.end, self.fits
+        longest = self.longest
+        previous, mid, end, fits, known = "", self.mid, self.end, self.fits, self.apart
         for word in sorted(words):
             depth, most = 0, min(len(state) - 1, len(word) - 1)
             while depth < most and word[depth] == previous[depth]:
                 depth += 1
             del state[depth + 1 :]
             for i in range(depth + 1, len(word)):
-                for n in range(1, min(i, self.longest) + 1):
+                for n in range(1, min(i, longest) + 1):
                     t = word[i - n : i]
-                    if t in mid and fits(state[i - n], t):
-                        state.append(t)
-                        break
+                    if t in mid:
+                        ok = known.get((state[i - n], t))
+                        if ok or ok is None and fits(state[i - n], t):
+                            state.append(t)
+                            break
             n = len(word)
             for k in range(1, min(n, self.longest_end) + 1):
                 t = word[n - k :] + MARK
@@ -203,4 +208,4 @@ def _encoded(docs: DataFrame, path: str, schema: str, give) -> DataFrame:
             out.insert(0, "doc_id", frame["doc_id"].reset_index(drop=True))
             yield out
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, {schema}")
+    return small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, {schema}")
