@@ -235,3 +235,15 @@ def convolve(grid: DataFrame, meta: GridMeta, stencil: list[tuple[int, int, int,
     need = grid.select(*KEY).withColumn("o", F.explode(offs)).select(*KEY, *keys, F.col("o.w").alias("w"))
     src = grid.select(*[F.col(a).alias(f"s{a}") for a in KEY], V)
     return need.join(src, [f"s{a}" for a in KEY]).groupBy(*KEY).agg(F.sum(F.col("w") * F.col(V)).alias(V))
+
+
+def richardson_lucy(grid: DataFrame, meta: GridMeta, psf: list[tuple[int, int, int, float]], iterations: int, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Iterative deconvolution of a dense grid from ones, zeros outside; a blur of zero gives null."""
+    flipped = [(-z, -x, -y, w) for z, x, y, w in psf]
+    est = grid.select(*KEY, F.lit(1.0).alias(V))
+    for _ in range(iterations):
+        blur = convolve(est, meta, flipped).withColumnRenamed(V, "b")
+        ratio = grid.join(blur, KEY).select(*KEY, F.try_divide(F.col(V).cast("double"), F.col("b")).alias(V))
+        step = convolve(ratio, meta, psf).withColumnRenamed(V, "e")
+        est = settle(est.join(step, KEY).select(*KEY, (F.col(V) * F.col("e")).alias(V)))
+    return est

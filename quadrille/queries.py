@@ -647,3 +647,113 @@ def _stored(s, d):
 
 
 query("r012_partial_read", lambda q: f"SELECT {C}, CAST(v AS DOUBLE) AS v FROM {s_cell(q, 'g3')} WHERE level <= 5")(_stored)
+
+
+def _root(s) -> str:
+    _settle(s)
+    root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
+    return root if ":" in root.split("/")[0] else f"file://{root}"
+
+
+def _tiff(s, d):
+    import uuid
+
+    from quadrille.sources import tiff
+
+    path = f"{_root(s)}/tiff-{uuid.uuid4().hex}"
+    tiff.save(grids.volume(s, d), G3, path, "float32", 4)
+    return tiff.read(s, path)
+
+
+query("r002_tiff_scan", lambda q: f"SELECT {K}, CAST(v AS DOUBLE) AS v FROM {o.grid(q, 'g3')}")(_tiff)
+query("r003_tiff_slices", lambda q: f"SELECT {K}, CAST(v AS DOUBLE) AS v FROM {o.grid(q, 'g3')} WHERE z >= 6 AND z < 9")(lambda s, d: _tiff(s, d).where("z >= 6 and z < 9"))
+
+
+def _store(s, d):
+    import uuid
+
+    from quadrille.sources.storage import READ, READWRITE, CellStore
+
+    c, meta = kept(s, d, "g3")
+    path = f"{_root(s)}/store-{uuid.uuid4().hex}"
+    w = CellStore(s, path, READWRITE)
+    w.write_cells(c, meta, tree=True)
+    w.append_cells(c.where("z < 8"), meta)
+    w.write_property("mean", c.withColumn("v", F.col("v").cast("double")))
+    w.write_property("lossy", c.withColumn("v", F.col("v").cast("double")), codec=compress.Codec())
+    return CellStore(s, path, READ)
+
+
+query("r006_store_cells", lambda q: f"SELECT * FROM {s_leaf(q, 'g3')}")(lambda s, d: _store(s, d).read_cells())
+query("r007_store_append", lambda q: f"SELECT * FROM {s_leaf(q, 'g3')} WHERE z < 8")(lambda s, d: _store(s, d).read_cells(1))
+query("r009_store_tree", lambda q: f"SELECT * FROM {o.tree(q, s_leaf(q, 'g3'))}")(lambda s, d: _store(s, d).read_cells(tree=True))
+query("r010_store_property", lambda q: f"SELECT {C}, CAST(v AS DOUBLE) AS v FROM {s_cell(q, 'g3')}")(lambda s, d: _store(s, d).read_property("mean"))
+query("r013_catalogue", "SELECT CAST(2 AS INTEGER) AS steps, 't' AS channels, 'lossy,mean' AS properties, CAST(16 AS INTEGER) AS nz")(
+    lambda s, d: (lambda r: s.createDataFrame([(r.number_of_time_steps(), ",".join(r.channels()), ",".join(r.properties()), r.read_meta().nz)], "steps int, channels string, properties string, nz int"))(_store(s, d))
+)
+query("r016_lazy_slice", lambda q: f"SELECT {C}, CAST(v AS DOUBLE) AS v FROM {s_cell(q, 'g3')} WHERE level = 5 AND z BETWEEN 2 AND 3")(lambda s, d: _store(s, d).scan("mean", 5, (2, 3)))
+query("r122_reconstruct_from_store", lambda q: f"SELECT {K}, CAST(v AS DOUBLE) AS v FROM {o.pixels(q, s_cell(q, 'g3'), G3)} WHERE z >= 2 AND z < 13 AND x >= 9 AND x < 40 AND y >= 11 AND y < 50")(lambda s, d: reconstruct.constant(_store(s, d).read_property("mean"), G3, _PATCH))
+
+
+def _two_phase(s, d):
+    both, _ = convert.fields(grids.image(s, d), G2, P2)
+    both = _settle(s)(both)
+    return convert.leaves(convert.levels(convert.apply_parameters(both, P2), G2, P2), G2)
+
+
+query("r069_two_phase", lambda q: f"SELECT * FROM {s_leaf(q, 'g2')}")(_two_phase)
+query("r130_restore", lambda q: f"SELECT {C}, round(CASE WHEN 0.5 * {_VST} + 3.2 >= 3.2 THEN ((0.5 * {_VST} + 3.2) * (0.5 * {_VST} + 3.2) / 4 - 2.56) * 2.0 + 1.0 ELSE 1.0 END, 4) AS v FROM {s_cell(q, 'g2')}")(
+    lambda s, d: cell(s, d, "g2")[0].select(*CELL, F.round(compress.restore(compress.stabilise(F.col("v").cast("double"), _CODEC), _CODEC), 4).alias("v"))
+)
+query("r133_train_denoise")(lambda s, d: _kernels(s, d))
+
+
+def _kernels(s, d):
+    c, meta = kept(s, d, "g2")
+    k = denoise.train(c, meta, fine=1, coarse=1)
+    return s.createDataFrame([(l, *r[:3], round(r[3], 4)) for l, a in k.items() for r in filters.rows_of(a)], "level int, oz int, ox int, oy int, w double")
+
+
+def _s_mag3(q):
+    p = [s_conv(q, "g3", filters.rescaled_kernels(filters.difference(a), G3), True, f"g{a}") for a in AXES]
+    on = lambda b: " AND ".join(f"a.{c} = {b}.{c}" for c in ("level", *AXES))
+    return f"SELECT a.level, a.z, a.x, a.y, round(sqrt(a.v * a.v + b.v * b.v + c.v * c.v), 6) AS v FROM {p[0]} a JOIN {p[1]} b ON {on('b')} JOIN {p[2]} c ON {on('c')}"
+
+
+query("r139_gradient_magnitude_volume", _s_mag3)(lambda s, d: rounded(filters.gradient_magnitude(*kept(s, d, "g3"))))
+query("r140_richardson_lucy_pixels")(lambda s, d: rounded(dense.richardson_lucy(grids.image(s, d), G2, _KERNEL, 2, _settle(s))))
+
+
+def _s_cast(q, rows, how="max"):
+    """rows: level, z, x, y, v on the geometry of the volume."""
+    m = _CAM.matrix()
+    size = "CAST(1 << (6 - level) AS DOUBLE)"
+    p = {a: f"({a} + CAST(0.5 AS DOUBLE)) * {size}" for a in AXES}
+    clip = [f"({float(m[i, 0])!r} * px + {float(m[i, 1])!r} * py + {float(m[i, 2])!r} * pz + {float(m[i, 3])!r})" for i in (0, 1, 3)]
+    n = "ceil(64.0 / sz)"
+    q.add("pts", f"SELECT level, v, {size} AS sz, {p['z']} AS pz, {p['x']} AS px, {p['y']} AS py FROM {rows}")
+    q.add("img", f"SELECT level, CAST(v AS DOUBLE) AS v, CAST(sz AS INTEGER) AS sz, {n} AS n, CAST(round(-(({clip[1]} / {clip[2]} - 1) / 2 * {n})) AS INTEGER) AS r, CAST(round(-(({clip[0]} / {clip[2]} - 1) / 2 * {n})) AS INTEGER) AS c FROM pts")
+    q.add("red", f"SELECT level, sz, r, c, {how}(v) AS v FROM img WHERE r > 0 AND c > 0 AND r < n AND c < n GROUP BY ALL")
+    q.add("spr", "SELECT r, unnest(range(c * sz, least((c + 1) * sz, 64))) AS c, v FROM (SELECT unnest(range(r * sz, least((r + 1) * sz, 64))) AS r, c, sz, v FROM red WHERE level = 6 OR v > 0)")
+    return f'SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round({how}(v), 6) AS v FROM spr GROUP BY r, c'
+
+
+for _n, _f in (("r123_raycast", lambda q: _s_cast(q, s_cell(q, "g3"))), ("r125_raycast_pixels", lambda q: _s_cast(q, q.add("px6", f"SELECT 6 AS level, {K}, v FROM {o.grid(q, 'g3')}")))):
+    _q = o.Sql()
+    ORACLES[_n] = _q.text(_f(_q))
+
+
+def _projected(s, d):
+    t = grids.read(s, d, "supplier")
+    r, c = reconstruct.project(_CAM, F.col("s_suppkey") % 64 + 0.5, F.col("s_nationkey") + 0.5, F.lit(3.5), F.lit(64), F.lit(64))
+    return t.select("s_suppkey", r.alias("row"), c.alias("col"))
+
+
+def _s_projected():
+    m = [[float(v) for v in row] for row in _CAM.matrix()]
+    clip = [f"({m[i][0]!r} * (s_suppkey % 64 + CAST(0.5 AS DOUBLE)) + {m[i][1]!r} * (s_nationkey + CAST(0.5 AS DOUBLE)) + {m[i][2]!r} * CAST(3.5 AS DOUBLE) + {m[i][3]!r})" for i in (0, 1, 3)]
+    at = lambda k: f"CAST(round(-(({clip[k]} / {clip[2]} - 1) / 2 * 64)) AS INTEGER)"
+    return f'SELECT s_suppkey, {at(1)} AS "row", {at(0)} AS col FROM supplier'
+
+
+query("r126_project_points", _s_projected())(_projected)
