@@ -38,3 +38,17 @@ def clamp_weight_by_level(meta: GridMeta) -> Column:
 
 def inside(meta: GridMeta, level: Column | str = "level") -> Column:
     return reduce(lambda p, q: p & q, [(F.col(a) >= 0) & (F.col(a) < extent(meta, a, level)) for a in AXES])
+
+
+def extent_sql(meta: GridMeta, axis: str, level: str) -> str:
+    pairs = ", ".join(f"{l}, {meta.n(l, axis)}" for l in range(meta.l_max + 1))
+    return f"coalesce(try_element_at(map({pairs}), {level}), 0)"
+
+
+def clamp_steps(meta: GridMeta, level: str, d: str = "d") -> str:
+    """SQL for how many of the d steps up from a cell of a level, over all axes, leave the clamped end of an odd axis.
+
+    The cell then counts 2**steps times in its ancestor, and weights 2**steps / 8**d add up to one."""
+    return " + ".join(
+        f"if({d} > {k} and {level} - {k} > 0 and {extent_sql(meta, a, f'{level} - {k}')} % 2 = 1 and shiftright({a}, {k}) = {extent_sql(meta, a, f'{level} - {k}')} - 1, 1, 0)" for a in AXES for k in range(meta.l_max + 1)
+    )

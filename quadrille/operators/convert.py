@@ -16,14 +16,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.keys import CELL, KEY, inside
+from quadrille.functions.keys import CELL, KEY, clamp_weight, inside
 from quadrille.operators import dense
 from quadrille.plans.meta import AXES, GridMeta
 
 SEED, BOUNDARY, FILLER = 1, 2, 3
+Settle = Callable[[DataFrame], DataFrame]
 
 # Window radii by blur width over pixel width, and the scale factors for 1, 2 and 3 active axes.
 RADIUS_1 = (1, 1, 1, 2, 2, 3)
@@ -136,15 +137,24 @@ def inverse_spline(grid: DataFrame, meta: GridMeta) -> DataFrame:
     return grid
 
 
-def gradient_magnitude_half(grid: DataFrame, meta: GridMeta, h: dict[str, float] | None = None) -> DataFrame:
-    """Central differences with repeated borders, their magnitude, and its maximum over 2x2x2 cells."""
+def _magnitude(h: dict[str, float] | None) -> Column:
     squares = []
     for a in AXES:
         w, d = dense.lines(a), (h or {}).get(a, 1.0)
         diff = (F.coalesce(F.lead("v").over(w), F.col("v")) - F.coalesce(F.lag("v").over(w), F.col("v"))) / (2 * d)
         squares.append(diff * diff)
-    mag = grid.select(*KEY, F.sqrt(reduce(lambda p, q: p + q, squares)).alias("v"))
-    return dense.downsample(mag, meta, "max")
+    return F.sqrt(reduce(lambda p, q: p + q, squares))
+
+
+def gradient_magnitude_half(grid: DataFrame, meta: GridMeta, h: dict[str, float] | None = None) -> DataFrame:
+    """Central differences with repeated borders, their magnitude, and its maximum over 2x2x2 cells."""
+    return dense.downsample(grid.select(*KEY, _magnitude(h).alias("v")), meta, "max")
+
+
+def gradient_and_mean_half(grid: DataFrame, meta: GridMeta, h: dict[str, float] | None = None) -> DataFrame:
+    """grad and half (the mean) of each cell at half resolution, in one pass over the grid."""
+    both = grid.select(*KEY, "v", _magnitude(h).alias("g"))
+    return both.groupBy(*[F.shiftright(a, 1).alias(a) for a in KEY]).agg(F.max("g").alias("grad"), (F.sum(F.col("v") * clamp_weight(meta.size)) / 8).alias("half"))
 
 
 def windows(meta: GridMeta, psf_over_pixel: float) -> tuple[dict[str, int], dict[str, int], float]:
@@ -233,11 +243,8 @@ def levels(fields: DataFrame, meta: GridMeta, p: Parameters) -> DataFrame:
 def level_pyramid(required: DataFrame, meta: GridMeta) -> DataFrame:
     """level, key, v: the clipped required level of half resolution and its maxima at coarser levels."""
     top = max(1, meta.l_max - 1)
-    at, size, out = required.select(*KEY, F.least(F.greatest(F.col("v"), F.lit(meta.l_min)), F.lit(top)).cast("int").alias("v")), meta.half(), []
-    for level in range(top, meta.l_min - 1, -1):
-        out.append(at.withColumn("level", F.lit(level)))
-        at, size = dense.downsample(at, size, "max"), size.half()
-    return reduce(DataFrame.unionByName, out)
+    clipped = required.select(*KEY, F.least(F.greatest(F.col("v"), F.lit(meta.l_min)), F.lit(top)).cast("int").alias("v"))
+    return dense.pyramid(clipped, meta.half(), "max", meta.l_min, top)
 
 
 def fill_seeds(pyr: DataFrame, meta: GridMeta) -> DataFrame:
@@ -247,7 +254,7 @@ def fill_seeds(pyr: DataFrame, meta: GridMeta) -> DataFrame:
     return pyr.withColumn("type", F.when(seed, SEED).otherwise(0))
 
 
-def solve(required: DataFrame, meta: GridMeta) -> DataFrame:
+def solve(required: DataFrame, meta: GridMeta, settle: Settle = lambda df: df) -> DataFrame:
     """level, z, x, y, type of the optimal valid cell set at half resolution."""
     top = max(1, meta.l_max - 1)
     pyr = level_pyramid(required, meta)
@@ -257,6 +264,7 @@ def solve(required: DataFrame, meta: GridMeta) -> DataFrame:
         near = near.withColumn("n", F.max("n").over(w))
     l = F.col("level")
     typed = near.where(F.col("n") <= l).select(*CELL, F.when(F.col("v") == l, SEED).when(F.col("n") == l, BOUNDARY).otherwise(FILLER).alias("type"))
+    typed = settle(typed)
     parents = typed.where(l < top).select((l + 1).alias("level"), *[F.col(a).alias(f"p{a}") for a in KEY])
     child = typed.select("*", *[F.shiftright(a, 1).alias(f"p{a}") for a in KEY])
     return child.join(parents, ["level", "pz", "px", "py"], "left_anti").select(*CELL, "type")
@@ -273,10 +281,10 @@ def cells_to_leaves(solved: DataFrame, meta: GridMeta, neighbourhood: bool = Tru
     return keep.unionByName(kids.where(inside(meta)).select(*CELL))
 
 
-def leaves(required: DataFrame, meta: GridMeta, neighbourhood: bool = True) -> DataFrame:
+def leaves(required: DataFrame, meta: GridMeta, neighbourhood: bool = True, settle: Settle = lambda df: df) -> DataFrame:
     if meta.l_max <= 2:
         return all_pixels(required.sparkSession, meta)
-    return cells_to_leaves(solve(required, meta), meta, neighbourhood)
+    return cells_to_leaves(settle(solve(required, meta, settle)), meta, neighbourhood)
 
 
 def all_pixels(spark, meta: GridMeta) -> DataFrame:
@@ -286,28 +294,34 @@ def all_pixels(spark, meta: GridMeta) -> DataFrame:
     return cells(spark, meta).select(F.lit(meta.l_max).alias("level"), *KEY)
 
 
-def fields(grid: DataFrame, meta: GridMeta, p: Parameters) -> tuple[DataFrame, DataFrame]:
+def fields(grid: DataFrame, meta: GridMeta, p: Parameters, settle: Settle = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Gradient and scale at half resolution (key, grad, scale), and the mean-downsampled intensity."""
+    steps = {"y": p.dy, "x": p.dx, "z": p.dz}
     work = grid.withColumn("v", F.col("v").cast("double"))
     if p.smoothing > 0:
-        work = smooth_spline(work, meta, p.smoothing)
-    grad = gradient_magnitude_half(work, meta, {"y": p.dy, "x": p.dx, "z": p.dz})
-    image = inverse_spline(work, meta) if p.smoothing > 0 else work
-    half = dense.downsample(image, meta, "mean")
+        work = settle(smooth_spline(work, meta, p.smoothing))
+        grad = gradient_magnitude_half(work, meta, steps).withColumnRenamed("v", "grad")
+        both = settle(grad.join(dense.downsample(inverse_spline(work, meta), meta, "mean").withColumnRenamed("v", "half"), KEY))
+    else:
+        both = settle(gradient_and_mean_half(work, meta, steps))
+    half = both.select(*KEY, F.col("half").alias("v"))
     if p.intensity_th:
-        grad = threshold_gradient(grad, half, p.intensity_th)
+        both = both.withColumn("grad", F.when(F.col("half") <= p.intensity_th, 0.0).otherwise(F.col("grad")))
     scale = local_scale(half, meta.half(), p)
-    return grad.withColumnRenamed("v", "grad").join(scale.withColumnRenamed("v", "scale"), KEY), half
+    return both.select(*KEY, "grad").join(scale.withColumnRenamed("v", "scale"), KEY), half
 
 
-def convert(grid: DataFrame, meta: GridMeta, p: Parameters = Parameters()) -> DataFrame:
-    """Leaves of the adaptive representation of a dense grid."""
+def convert(grid: DataFrame, meta: GridMeta, p: Parameters = Parameters(), settle: Settle = lambda df: df) -> DataFrame:
+    """Leaves of the adaptive representation of a dense grid.
+
+    settle writes and cuts what several later steps read: the half-resolution
+    fields and the typed cells, an eighth of the grid or less."""
     if meta.l_max <= 2:
         return all_pixels(grid.sparkSession, meta)
-    both, half = fields(grid, meta, p)
+    both, half = fields(grid, meta, p, settle)
     if p.auto:
         p = auto_parameters(both, half, p)
-    return leaves(levels(apply_parameters(both, p), meta, p), meta, p.neighbourhood)
+    return leaves(levels(apply_parameters(both, p), meta, p), meta, p.neighbourhood, settle)
 
 
 def convert_custom(grad: DataFrame, scale: DataFrame, meta: GridMeta, p: Parameters = Parameters()) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.functions.keys import KEY, clamp_weight
+from quadrille.functions.keys import KEY, clamp_steps, clamp_weight
 from quadrille.plans.grids import densify
 from quadrille.plans.meta import AXES, GridMeta
 
@@ -36,13 +36,20 @@ def downsample(grid: DataFrame, meta: GridMeta, how: str = "mean", finish: Calla
 
 
 def pyramid(grid: DataFrame, meta: GridMeta, how: str = "mean", l_min: int = 1, l_max: int | None = None) -> DataFrame:
-    """Levels l_max (the grid) to l_min in one table with a level column."""
+    """Levels l_max (the grid) to l_min in one table with a level column.
+
+    Every pixel enters each of its ancestors once, with the product of the
+    clamping weights of the steps: one scan and one aggregation for all levels."""
     top = l_max or meta.l_max
-    out, at, size = [grid.select(F.lit(top).alias("level"), *KEY, V)], grid, meta
-    for level in range(top - 1, l_min - 1, -1):
-        at, size = downsample(at, size, how), size.half()
-        out.append(at.select(F.lit(level).alias("level"), *KEY, F.col(V)))
-    return reduce(DataFrame.unionByName, out)
+    up = grid.select(*KEY, V).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(top - l_min))))
+    v, d = F.col(V), F.col("d")
+    if how in ("mean", "sum"):
+        times = F.expr(f"shiftleft(1L, {clamp_steps(meta, str(meta.l_max))})")
+        up = up.withColumn(V, v * times)
+    up = up.select((F.lit(top) - d).alias("level"), *[F.call_function("shiftright", F.col(a), d).alias(a) for a in KEY], V)
+    agg = {"mean": F.sum(V), "sum": F.sum(V), "max": F.max(V), "min": F.min(V)}[how].alias(V)
+    out = up.groupBy("level", *KEY).agg(agg)
+    return out.withColumn(V, F.col(V) / F.pow(F.lit(8.0), F.lit(top) - F.col("level"))) if how == "mean" else out
 
 
 def upsample(grid: DataFrame, fine: GridMeta) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.functions.keys import CELL, KEY, clamp_weight_by_level, extent, inside, level_size
+from quadrille.functions.keys import CELL, KEY, clamp_steps, clamp_weight_by_level, extent, inside, level_size
 from quadrille.operators import dense
 from quadrille.plans.meta import AXES, GridMeta
 
@@ -131,7 +131,7 @@ def ancestors(cells: DataFrame, columns: list[str] = ()) -> DataFrame:
 
 
 def tree(cells: DataFrame) -> DataFrame:
-    """The interior cells: distinct ancestors, level by level so that each level's distinct shrinks the next."""
+    """The interior cells: distinct ancestors."""
     return ancestors(cells).select(*CELL).distinct()
 
 
@@ -145,22 +145,12 @@ def tree_mean(cells: DataFrame, meta: GridMeta, l_min: int = 0) -> DataFrame:
 
     The weights of the steps multiply along the path, so a leaf enters each
     ancestor once with the product and one aggregation gives every level."""
-    weight, size = None, cells.select(*CELL, F.col("v").cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.col("level"))).alias("d"))
-    parts = []
-    for a in AXES:
-        # Steps of the path at which the cell is the clamped last one of an odd axis.
-        steps = "+".join(f"if(d > {k} and level - {k} > 0 and {_extent_sql(meta, a, f'level - {k}')} % 2 = 1 and shiftright({a}, {k}) = {_extent_sql(meta, a, f'level - {k}')} - 1, 1, 0)" for k in range(meta.l_max + 1))
-        parts.append(f"({steps})")
-    weight = F.expr(f"pow(2D, {' + '.join(parts)} - 3 * d)")
-    up = size.select((F.col("level") - F.col("d")).alias("level"), *[F.call_function("shiftright", F.col(a), F.col("d")).alias(a) for a in KEY], (F.col("v") * weight).alias("v"))
+    up = cells.select(*CELL, F.col("v").cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.col("level"))).alias("d"))
+    weight = F.expr(f"pow(2D, {clamp_steps(meta, 'level')} - 3 * d)")
+    up = up.select((F.col("level") - F.col("d")).alias("level"), *[F.call_function("shiftright", F.col(a), F.col("d")).alias(a) for a in KEY], (F.col("v") * weight).alias("v"))
     return up.where(F.col("level") >= l_min).groupBy(*CELL).agg(F.sum("v").alias("v"))
 
 
-def _extent_sql(meta: GridMeta, axis: str, level: str) -> str:
-    pairs = ", ".join(f"{l}, {meta.n(l, axis)}" for l in range(meta.l_max + 1))
-    return f"coalesce(try_element_at(map({pairs}), {level}), 0)"
-
-
 def tree_mean_stepwise(cells: DataFrame, meta: GridMeta) -> DataFrame:
     """tree_mean one level at a time, as its check."""
     out, below = [], None

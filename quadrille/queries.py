@@ -49,7 +49,7 @@ def leaf(spark, d, which: str) -> tuple[DataFrame, DataFrame, GridMeta]:
     """Grid, leaves and geometry of a case."""
     load, meta, p = CASES[which]
     g = load(spark, d)
-    return g, convert.convert(g, meta, p), meta
+    return g, convert.convert(g, meta, p, _settle(spark)), meta
 
 
 def cell(spark, d, which: str, how: str = "mean") -> tuple[DataFrame, GridMeta]:
