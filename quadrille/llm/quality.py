@@ -23,10 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm.common import small_batches
+
 HALF, WIDTH, STRIDE = 256, 8, 2
 TAIL = WIDTH - STRIDE
 EMBED, FILTERS, HIDDEN = 8, 32, 16
-ROWS, CHUNKS, BATCH = 1200, 8, 32
+ROWS, CHUNKS, BATCH = 1800, 24, 32
 TAPS = WIDTH // STRIDE
 
 
@@ -107,7 +109,7 @@ class Net:
         g["emb"] = np.stack([np.bincount(seen.ravel(), weights=dx[:, e], minlength=256) for e in range(EMBED)], 1).astype(np.float32)
         return g
 
-    def fit(self, docs: list[np.ndarray], y: np.ndarray, steps: int = 420, rate: float = 0.01, seed: int = 7) -> Net:
+    def fit(self, docs: list[np.ndarray], y: np.ndarray, steps: int = 700, rate: float = 0.02, seed: int = 7) -> Net:
         r = np.random.default_rng(seed)
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         order: list[int] = []
@@ -168,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int
                 out.append(np.concatenate([h[at][:, :HALF], h[at + 1]], 1).tobytes())
             yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "chunks": out})
 
-    found = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "text", "y").mapInPandas(cut, "doc_id long, y int, chunks binary").toPandas()
+    found = small_batches(docs).select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "text", "y").mapInPandas(cut, "doc_id long, y int, chunks binary").toPandas()
     found = found.sort_values(["doc_id", "y", "chunks"]).drop_duplicates(["doc_id", "y", "chunks"])
     y = found["y"].to_numpy(np.float32)
     if len({*y}) < 2:
@@ -192,4 +194,4 @@ def score(docs: DataFrame, net) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(base))), pa.array(s, pa.float64())], names=[*base, "score"])
 
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*base).schema), "score double"])
-    return docs.select(*base).mapInArrow(run, schema)
+    return small_batches(docs).select(*base).mapInArrow(run, schema)
