@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -21,6 +23,49 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def trim() -> None:
+    """Give freed memory back: a Python worker lives on through later stages with what its allocators hold."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(f):
+    """A function over batches that trims the worker when its task ends."""
+
+    @functools.wraps(f)
+    def run(frames):
+        try:
+            yield from f(frames)
+        finally:
+            trim()
+
+    return run
+
+
+def lean_groups(f):
+    """A function over groups, of one frame or of two, that trims the worker after each."""
+
+    def one(frame):
+        try:
+            return f(frame)
+        finally:
+            trim()
+
+    def two(left, right):
+        try:
+            return f(left, right)
+        finally:
+            trim()
+
+    # Spark reads the number of arguments off the signature.
+    return one if f.__code__.co_argcount == 1 else two
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where it is unset (tests) a local one is made and set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

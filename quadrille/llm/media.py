@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import settle
+from quadrille.llm.common import lean, settle, small_batches
 
 ROW, WIDE = 192, 64
 MEDIA = {"img", "video", "audio", "source", "embed"}
@@ -100,7 +100,7 @@ def sequences(pages: DataFrame, id_column: str, html_column: str = "html") -> Da
             rows = [(i, n, s["kind"], s["text"], s["ref"], s["caption"]) for i, h in zip(frame["id"], frame["html"]) for n, s in enumerate(segments(h))]
             yield pd.DataFrame(rows, columns=["id", "position", "kind", "text", "ref", "caption"])
 
-    return pages.select(F.col(id_column).alias("id"), F.col(html_column).alias("html")).mapInPandas(run, f"id {kind}, position int, kind string, text string, ref string, caption string")
+    return small_batches(pages).select(F.col(id_column).alias("id"), F.col(html_column).alias("html")).mapInPandas(lean(run), f"id {kind}, position int, kind string, text string, ref string, caption string")
 
 
 def _chunk(name: bytes, body: bytes) -> bytes:
@@ -171,7 +171,7 @@ def with_payload(docs: DataFrame) -> DataFrame:
                 met.add(digest)
             yield pd.DataFrame(rows, columns=["doc_id", "html", "digest", "media"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, html string, digest string, media binary")
+    return small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(lean(run), f"doc_id {kind}, html string, digest string, media binary")
 
 
 def described(media: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def described(media: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.where("media is not null").select("digest", "media").mapInPandas(run, schema).dropDuplicates(["digest"])
+    return small_batches(media).where("media is not null").select("digest", "media").mapInPandas(lean(run), schema).dropDuplicates(["digest"])
 
 
 def resolve(segs: DataFrame, media: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import settle, small_batches
+from quadrille.llm.common import lean, settle, small_batches
 
 CAPACITY, END_ID = 2048, 0
 _TOOLS: dict = {}
@@ -42,19 +43,23 @@ def encoder(json_path: str, ranks_path: str, pattern: str):
     """text -> ids as the tokenizers library gives with the file json_path."""
     if (json_path, ranks_path) not in _TOOLS:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        exact = Tokenizer.from_file(json_path)
-        exact.no_truncation()
-        exact.no_padding()
-        special = {t.content: i for i, t in exact.get_added_tokens_decoder().items()}
+        with open(json_path, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        exact: list = []  # loaded for the first text that needs it
 
         def encode(text: str) -> list[int]:
             if _PLAIN.search(text):
-                return exact.encode(text, add_special_tokens=False).ids
+                if not exact:
+                    from tokenizers import Tokenizer
+
+                    exact.append(Tokenizer.from_file(json_path))
+                    exact[0].no_truncation()
+                    exact[0].no_padding()
+                return exact[0].encode(text, add_special_tokens=False).ids
             return fast.encode(text, allowed_special="all")
 
         _TOOLS[json_path, ranks_path] = encode
@@ -79,7 +84,7 @@ def pieces(docs: DataFrame, tools: tuple[str, str, str], capacity: int = CAPACIT
                     k += 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "k", "place"])
 
-    return small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task long, k long, place long")
+    return small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task long, k long, place long")
 
 
 def reduce(count: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -218,7 +223,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 off[rows] = s[at, 2]
             yield frame[names].assign(sequence_id=seq, offset=off)
 
-    return ranked.select(*names, "rank").mapInPandas(run, schema)
+    return ranked.select(*names, "rank").mapInPandas(lean(run), schema)
 
 
 def pack_documents(docs: DataFrame, tools: tuple[str, str, str], capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

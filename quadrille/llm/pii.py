@@ -184,13 +184,13 @@ def pseudonym(m: str, key: str = KEY) -> str:
     )
 
 
-def apply(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with text pseudonymised and n_pseudonyms added or replaced."""
-    base = [c for c in docs.columns if c != "n_pseudonyms"]
+def apply(docs: DataFrame, key: str = KEY, name: str = "n_pseudonyms") -> DataFrame:
+    """docs with text pseudonymised and the number of pseudonyms added or replaced under `name`."""
+    base = [c for c in docs.columns if c != name]
     p, n = _q(PATTERN), fresh(docs, "__new")
     hit = f"(text is not null and text rlike {p})"
     new = f"transform(regexp_extract_all(text, {p}, 0), m -> named_struct('m', m, 'p', {pseudonym('m', key)}))"
     out = docs.select(*base).withColumn(n, F.expr(f"if({hit}, {new}, null)"))
     text = F.expr(f"if({n} is null, text, array_join(zip_with(split(text, {p}, -1), {n}, (a, b) -> concat(a, coalesce(b.p, ''))), ''))")
     count = F.expr(f"coalesce(size(filter({n}, x -> x.m <> x.p)), 0)")
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in base], count.cast("int").alias("n_pseudonyms"))
+    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in base], count.cast("int").alias(name))

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import small_batches
+from quadrille.llm.common import lean, lean_groups, small_batches
 
 ORDER, LOW = 5, 2
 END, PAD, SYMBOLS = 256, 257, 257
@@ -155,7 +155,7 @@ def survey(docs: DataFrame, order: int) -> tuple[dict[int, tuple[np.ndarray, np.
         g, c = grouped(*map(np.concatenate, zip(*held))) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         yield pd.DataFrame({"g": np.concatenate([g.astype(np.int64), -1 - np.arange(4)]), "n": np.concatenate([c.astype(np.int64), totals])})
 
-    rows = small_batches(docs).select("text", "train").mapInPandas(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
+    rows = small_batches(docs).select("text", "train").mapInPandas(lean(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
     g, n = rows["g"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
     tot = dict(zip(("bytes", "docs", "tokens", "train_docs"), (int(n[g == -1 - i].sum()) for i in range(4))))
     keep = np.argsort(g[g >= 0])
@@ -244,7 +244,7 @@ def vocabulary(rows: DataFrame, buckets: int) -> int:
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"n": [int(_word_codes(frame["keys"]).max()) + 1]})
 
-    sent = rows.select("text").mapInPandas(send, "bucket int, keys binary")
+    sent = rows.select("text").mapInPandas(lean(send), "bucket int, keys binary")
     return sent.groupBy("bucket").applyInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
 
 
@@ -285,8 +285,8 @@ def score(docs: DataFrame, train, order: int = ORDER, block_bytes: int = BLOCK_B
             found = np.bincount(codes, weights=n).astype(np.int64)[codes]
         return pd.DataFrame({"kind": frame["kind"], "bucket": frame["bucket"], "block": frame["block"], "found": [x.tobytes() for x in np.split(found, cut)]})
 
-    asked = dealt.groupBy("block").applyInPandas(ask, "kind int, bucket int, block int, keys binary, counts binary")
-    answers = asked.groupBy("kind", "bucket").applyInPandas(answer, "kind int, bucket int, block int, found binary")
+    asked = dealt.groupBy("block").applyInPandas(lean_groups(ask), "kind int, bucket int, block int, keys binary, counts binary")
+    answers = asked.groupBy("kind", "bucket").applyInPandas(lean_groups(answer), "kind int, bucket int, block int, found binary")
 
     def add(frame: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         texts, own = [_bytes(t) for t in frame["text"]], frame["train"].to_numpy(bool)
@@ -306,4 +306,4 @@ def score(docs: DataFrame, train, order: int = ORDER, block_bytes: int = BLOCK_B
         base = np.add.reduceat(np.log10(count + ALPHA), at) - size * whole
         return pd.DataFrame({"doc_id": frame["doc_id"], "held_out": ~own, "n_tokens": size, "n_known": np.add.reduceat((count > 0).astype(np.int64), at), "train_tokens": tot["tokens"], "base_score": base, "score": scores})
 
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lean_groups(add), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import small_batches
+from quadrille.llm.common import lean, small_batches
 
 HALF, WIDTH, STRIDE = 256, 8, 2
 TAIL = WIDTH - STRIDE
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int
                 out.append(np.concatenate([h[at][:, :HALF], h[at + 1]], 1).tobytes())
             yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "chunks": out})
 
-    found = small_batches(docs).select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "text", "y").mapInPandas(cut, "doc_id long, y int, chunks binary").toPandas()
+    found = small_batches(docs).select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "text", "y").mapInPandas(lean(cut), "doc_id long, y int, chunks binary").toPandas()
     found = found.sort_values(["doc_id", "y", "chunks"]).drop_duplicates(["doc_id", "y", "chunks"])
     y = found["y"].to_numpy(np.float32)
     if len({*y}) < 2:
@@ -181,9 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int
     return net
 
 
-def score(docs: DataFrame, net) -> DataFrame:
-    """docs with score (probability of label 1) added or replaced."""
-    base = [c for c in docs.columns if c != "score"]
+def score(docs: DataFrame, net, name: str = "score") -> DataFrame:
+    """docs with `name` (probability of label 1) added or replaced."""
+    base = [c for c in docs.columns if c != name]
     place = base.index("text")
 
     def run(batches):
@@ -191,7 +191,7 @@ def score(docs: DataFrame, net) -> DataFrame:
 
         for batch in batches:
             s = net.probability(batch.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(base))), pa.array(s, pa.float64())], names=[*base, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(base))), pa.array(s, pa.float64())], names=[*base, name])
 
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*base).schema), "score double"])
-    return small_batches(docs).select(*base).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*base).schema), f"`{name}` double"])
+    return small_batches(docs).select(*base).mapInArrow(lean(run), schema)

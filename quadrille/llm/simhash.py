@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.common import discard, parallelism, settle
+from quadrille.llm.common import discard, lean, lean_groups, settle, small_batches
 
 SEED = 42
 TILE = 65536
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             fp = np.array([fingerprint(t, words) for t in frame["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(np.int64), "fp": fp})
 
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return small_batches(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(lean(run), "doc_id long, fp long")
 
 
 def _quarters(v: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ def links(nodes: DataFrame, radius: int, tile: int = TILE, all_words: int | None
         left, right = forest(fps[0], ids[0], fps[-1], ids[-1], radius, same, (wide[0], wide[-1], all_words) if fits else None)
         return pd.DataFrame({"a": left, "b": right})
 
-    return pairs.groupBy("lo", "hi").applyInPandas(compare, "a long, b long")
+    return pairs.groupBy("lo", "hi").applyInPandas(lean_groups(compare), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -238,8 +238,8 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int
             wide = [wide_fingerprint(t, words) for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(np.int64), "fp": [int.from_bytes(w[:8], "little", signed=True) for w in wide], "wide": wide})
 
-    usable = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fps = settle(usable.mapInPandas(run, "doc_id long, fp long, wide binary"), "wide")
+    usable = small_batches(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    fps = settle(usable.mapInPandas(lean(run), "doc_id long, fp long, wide binary"), "wide")
     nodes = settle(fps.groupBy("fp", "wide").agg(F.min("doc_id").alias("id")), "wide-nodes")
     found = components(links(nodes, FIRST_RADIUS, tile, wide_radius(similarity)))
     named = nodes.join(found, "id", "left").select("wide", F.coalesce("component", "id").alias("component_id"))

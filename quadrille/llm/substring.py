@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import fresh
+from quadrille.llm.common import fresh, lean, small_batches
 
 MIN_WORDS = 8
 _UNIT = re.compile(r"[^\n]*?[.!?…][\"'”’)\]]*(?=\s|$)|[^\n]+", re.M)
@@ -70,7 +70,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 h = np.concatenate(hs)
                 yield pd.DataFrame({"doc_id": np.concatenate(ids), "row": np.concatenate(rows), "pos": np.concatenate(pos), "h1": h[:, 0], "h2": h[:, 1]})
 
-    return docs.mapInPandas(run, "doc_id long, row long, pos int, h1 long, h2 long")
+    return small_batches(docs).mapInPandas(lean(run), "doc_id long, row long, pos int, h1 long, h2 long")
 
 
 def cut(text: str | None, later: np.ndarray, min_words: int) -> tuple[str | None, list[tuple[int, int]], int]:
@@ -109,18 +109,18 @@ def cut(text: str | None, later: np.ndarray, min_words: int) -> tuple[str | None
     return "".join(kept), out, len(spans)
 
 
-def apply(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text cut, and n_units, spans (array of start, stop in the original text) added or replaced."""
+def apply(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str, str] = ("n_units", "spans")) -> DataFrame:
+    """docs with text cut, and the number of units and the removed spans (start, stop in the original text) added or replaced under `names`."""
     row, doc_, row_, later_ = (fresh(docs, x) for x in ("__row", "__doc", "__r", "__later"))
     keyed = docs.withColumn(row, F.xxhash64("text"))
     ids = keyed.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), "text")
     occ = occurrences(ids)
     first = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.col("first.doc_id").alias("fd"), F.col("first.row").alias("fr"))
     later = occ.join(first, ["h1", "h2"]).where("doc_id <> fd or row <> fr").groupBy("doc_id", "row").agg(F.collect_set("pos").alias(later_)).select(F.col("doc_id").alias(doc_), F.col("row").alias(row_), later_)
-    base = [c for c in docs.columns if c not in ("n_units", "spans")]
+    base = [c for c in docs.columns if c not in names]
     joined = keyed.join(later, (F.col("doc_id") == F.col(doc_)) & (F.col(row) == F.col(row_)), "left").select(*base, later_)
     place = base.index("text")
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*base).schema), "n_units int", "spans array<struct<start:int,stop:int>>"])
+    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*base).schema), f"`{names[0]}` int", f"`{names[1]}` array<struct<start:int,stop:int>>"])
 
     def run(frames):
         import pyarrow as pa
@@ -135,6 +135,6 @@ def apply(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             cols = [batch.column(i) for i in range(len(base))]
             cols[place] = pa.array(texts, pa.string())
             cols += [pa.array(n, pa.int32()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*base, "n_units", "spans"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*base, *names])
 
-    return joined.mapInArrow(run, schema)
+    return small_batches(joined).mapInArrow(lean(run), schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from quadrille.llm.common import scratch
+from quadrille.llm.common import scratch, small_batches
 
 ROLL, PART = 64 << 20, 64 << 20
 LEAST = 100
@@ -224,7 +224,7 @@ def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def write(rows: DataFrame, path: str) -> None:
     register(rows.sparkSession)
-    rows.write.format("warc").mode("append").save(path)
+    small_batches(rows).write.format("warc").mode("append").save(path)
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:

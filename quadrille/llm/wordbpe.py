@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import small_batches
+from quadrille.llm.common import lean, small_batches
 
 MARK = "</w>"
 #: Before a special token among words; no text holds a lone surrogate after normalising to words.
@@ -208,4 +208,4 @@ def _encoded(docs: DataFrame, path: str, schema: str, give) -> DataFrame:
             out.insert(0, "doc_id", frame["doc_id"].reset_index(drop=True))
             yield out
 
-    return small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, {schema}")
+    return small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(lean(run), f"doc_id {kind}, {schema}")
