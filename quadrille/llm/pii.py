@@ -151,7 +151,7 @@ def _card(key: str, m: str) -> str:
     body = _letters(key, "card", "substr(c, 2, length(c) - 2)", "repeat('d', length(c) - 2)")
     check = f"concat(b, pmod(10 - ({_luhn('concat(b, 0)')}) % 10, 10))"
     out = _bind(f"concat(substr(c, 1, 1), {body})", "b", _bind(check, "o", _respaced(m, "o")))
-    return _bind(f"regexp_replace({m}, '[^0-9]', '')", "c", f"if(({_luhn('c')}) % 10 = 0 and c rlike '[1-9]', {out}, {m})")
+    return _bind(f"regexp_replace({m}, '[^0-9]', '')", "c", f"if(length(c) between 13 and 19, if(({_luhn('c')}) % 10 = 0 and c rlike '[1-9]', {out}, {m}), {m})")
 
 
 def _iban(key: str, m: str) -> str:
@@ -177,7 +177,7 @@ def pseudonym(m: str, key: str = KEY) -> str:
     # Patterns without their look-around: the candidate stands alone here.
     return (
         f"case when {_full(m, '[^@]+@.*')} then {_mail(key, m)} when {_full(m, '(?:AKIA|ASIA)[A-Z0-9]{16}')} then {cloud} "
-        f"when {_full(m, '[a-z_]+[ ]*.*[=:].*')} then {_secret(key, m)} when {_full(m, '[A-Z]{2}[0-9]{2}[A-Z0-9]+')} then {_iban(key, m)} "
+        f"when {_full(m, '(?s)[a-z_]+[ ]*.*[=:].*')} then {_secret(key, m)} when {_full(m, '[A-Z]{2}[0-9]{2}[A-Z0-9]+')} then {_iban(key, m)} "
         f"when {_full(m, '[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}')} then {_date(key, m)} "
         f"when {_full(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')} then {_ssn(key, m)} when {_full(m, '([0-9]{1,3}[.]){3}[0-9]{1,3}')} then {_ip(key, m)} "
         f"when {_full(m, PHONE)} then {_phone(key, m)} else {_card(key, m)} end"
