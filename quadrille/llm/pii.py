@@ -6,7 +6,7 @@ own format: a card stays a card with a right check digit, a date stays a date.
 The permutation depends on the key and the kind alone, so equal values give
 equal pseudonyms in every document and different values never meet.  Mail
 names and credentials are permuted character by character within their
-classes (digit, lower, upper).
+classes (digit, lower, upper), credentials in blocks of 128.
 
 Defined results: candidates that fail validation and all other text stay byte
 for byte; a null text stays null; other columns pass through; the text of a
@@ -22,6 +22,8 @@ from quadrille.llm.common import fresh
 
 KEY = "change-me"
 ROUNDS = 8
+#: Characters that one permutation of letters covers.
+BLOCK = 128
 
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 IPV4 = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"
@@ -31,7 +33,8 @@ DATE = r"(?<![\w/.-])(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[./]\d{1,2}[./]\d{4})
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)"
 CLOUD_KEY = r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)"
-SECRET = r"(?<!\w)(?:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_/+-]{8,128}+\"?"
+#: The value may go on after dots (JWT); a dot at its end is not part of it.
+SECRET = r"(?<!\w)(?i:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}\"?(?=[A-Za-z0-9_/+-]{8})[A-Za-z0-9_/+.-]{8,}(?<![.])\"?"
 PATTERN = "|".join(f"(?:{p})" for p in (MAIL, CLOUD_KEY, SECRET, IBAN, DATE, SSN, PHONE, IPV4, CARD))
 
 
@@ -166,9 +169,12 @@ def _mail(key: str, m: str) -> str:
 
 
 def _secret(key: str, m: str) -> str:
-    head = f"regexp_extract({m}, '^[a-z_]+\\\\s*[=:]\\\\s*\"?', 0)"
-    body = f"substr({m}, length(h) + 1)"
-    return _bind(head, "h", f"concat(h, {_letters(key, 'secret', body, _classes(body))})")
+    head = f"regexp_extract({m}, '^[A-Za-z_]+\\\\s*[=:]\\\\s*\"?', 0)"
+    quote = f"if({m} like '%\"', '\"', '')"
+    value = f"substr({m}, length(h) + 1, length({m}) - length(h) - length({quote}))"
+    block = _bind(f"substr(v, {BLOCK} * k + 1, {BLOCK})", "u", _letters(key, "secret", "u", _classes("u")))
+    blocks = f"array_join(transform(sequence(0, cast((length(v) - 1) div {BLOCK} as int)), k -> {block}), '')"
+    return _bind(head, "h", _bind(value, "v", f"concat(h, {blocks}, {quote})"))
 
 
 def pseudonym(m: str, key: str = KEY) -> str:
@@ -177,7 +183,7 @@ def pseudonym(m: str, key: str = KEY) -> str:
     # Patterns without their look-around: the candidate stands alone here.
     return (
         f"case when {_full(m, '[^@]+@.*')} then {_mail(key, m)} when {_full(m, '(?:AKIA|ASIA)[A-Z0-9]{16}')} then {cloud} "
-        f"when {_full(m, '(?s)[a-z_]+[ ]*.*[=:].*')} then {_secret(key, m)} when {_full(m, '[A-Z]{2}[0-9]{2}[A-Z0-9]+')} then {_iban(key, m)} "
+        f"when {_full(m, '(?s)[A-Za-z_]+[ ]*.*[=:].*')} then {_secret(key, m)} when {_full(m, '[A-Z]{2}[0-9]{2}[A-Z0-9]+')} then {_iban(key, m)} "
         f"when {_full(m, '[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}')} then {_date(key, m)} "
         f"when {_full(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')} then {_ssn(key, m)} when {_full(m, '([0-9]{1,3}[.]){3}[0-9]{1,3}')} then {_ip(key, m)} "
         f"when {_full(m, PHONE)} then {_phone(key, m)} else {_card(key, m)} end"

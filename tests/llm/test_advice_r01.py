@@ -16,3 +16,13 @@ def test_secret_after_a_line_break(spark):
     assert out[0][0][7:17] == out[2][0][10:]
 
 
+def test_secret_names_in_capitals_and_long_values(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9." + "aB3" * 90 + "." + "Zz9" * 20
+    out = pseudonyms(spark, ['TOKEN = "9233A8EC77"', "Token: 9233A8EC77.", f"API_KEY={jwt}. End", f'password="{jwt}"', "secret: " + "q" * 128 + " x"])
+    assert [n for _, n in out] == [1] * 5
+    value = out[0][0][9:-1]
+    assert out[0][0] == f'TOKEN = "{value}"' and out[1][0] == f"Token: {value}." and value != "9233A8EC77"
+    new = out[2][0].removeprefix("API_KEY=").removesuffix(". End")
+    assert len(new) == len(jwt) and out[3][0] == f'password="{new}"'
+    assert all(new[i : i + 12] != jwt[i : i + 12] for i in range(0, len(jwt) - 12, 12)) and [i for i, c in enumerate(new) if c == "."] == [i for i, c in enumerate(jwt) if c == "."]
+    assert len(out[4][0]) == len("secret: ") + 130
