@@ -31,11 +31,22 @@ PHONE = r"(?<![\w+(])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 DATE = r"(?<![\w/.-])(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w/-]|\.\d)"
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)"
+#: Countries by the length of their IBAN: grouped by spaces, only the length tells where it ends.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "DZ|IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_SPACED = "|".join(rf"(?:{c})\d{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+IBAN = rf"(?<!\w)(?:[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}|{_SPACED})(?!\w)"
 CLOUD_KEY = r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)"
 #: The value may go on after dots (JWT); a dot at its end is not part of it.
 SECRET = r"(?<!\w)(?i:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}\"?(?=[A-Za-z0-9_/+-]{8})[A-Za-z0-9_/+.-]{8,}(?<![.])\"?"
-PATTERN = "|".join(f"(?:{p})" for p in (MAIL, CLOUD_KEY, SECRET, IBAN, DATE, SSN, PHONE, IPV4, CARD))
+PATTERN = "|".join(f"(?:{p})" for p in (MAIL, CLOUD_KEY, SECRET, IBAN, DATE, SSN, PHONE, IPV4))
+#: Digits with spaces and hyphens between, searched for cards in what the other patterns leave.
+RUN = r"(?<![\w.+-])\d[\d -]{11,}\d(?![\w-])"
+#: Groups of a card with neighbours: four digits or more each, one kind of separator, the last of any length.
+GROUPS = r"^\d{4,}(?:([ -])(?:\d{4,}\1)*\d+)?$"
 
 
 def _q(s: str) -> str:
@@ -157,12 +168,29 @@ def _card(key: str, m: str) -> str:
     return _bind(f"regexp_replace({m}, '[^0-9]', '')", "c", f"if(length(c) between 13 and 19, if(({_luhn('c')}) % 10 = 0 and c rlike '[1-9]', {out}, {m}), {m})")
 
 
+def _cards(key: str, run: str) -> str:
+    """A run with its cards replaced, their digits as letters (K to T the first of a card, a to j the others).
+
+    Unbroken numbers come first, then readings in groups from the longest on, then the longest reading in
+    any groups.  Letters are never read again, so readings that overlap a card fall away."""
+    digits = lambda x: f"regexp_replace({x}, '[^0-9]', '')"
+    readings = ", ".join(f"regexp_extract_all({run}, {_q(rf'(?<!\d)(?=((?:\d[ -]?){{{n - 1}}}\d)(?!\d))')}, 1)" for n in range(19, 12, -1))
+    shaped = f"filter(flatten(array({readings})), x -> x rlike {_q(GROUPS)})"
+    valid = f"filter(concat(filter(s, x -> not x rlike '[ -]'), filter(s, x -> x rlike '[ -]'), regexp_extract_all({run}, {_q(CARD)}, 0)), x -> {_bind(digits('x'), 'y', f'({_luhn("y")}) % 10 = 0')})"
+    masked = _bind(_card(key, "x"), "o", "concat(translate(substr(o, 1, 1), '0123456789', 'KLMNOPQRST'), translate(substr(o, 2), '0123456789', 'abcdefghij'))")
+    return _bind(shaped, "s", f"aggregate({valid}, {run}, (t, x) -> if(instr(t, x) > 0, regexp_replace(t, concat('(?<![0-9])', x, '(?![0-9])'), {masked}), t))")
+
+
 def _iban(key: str, m: str) -> str:
     body = _letters(key, "iban", f"substr({m}, 5)", _classes(f"substr({m}, 5)"))
     sealed = _bind(body, "b", f"concat(substr({m}, 1, 2), lpad(98 - {_mod97(f'concat(substr({m}, 1, 2), 0, 0, b)')}, 2, '0'), b)")
     return f"if({_mod97(m)} = 1, {sealed}, {m})"
 
 
+def _spaced_iban(key: str, m: str) -> str:
+    return _bind(f"replace({m}, ' ', '')", "z", _bind(_iban(key, "z"), "o", "regexp_replace(o, '(.{4})(?=.)', '$1 ')"))
+
+
 def _mail(key: str, m: str) -> str:
     name = f"lower(substring_index({m}, '@', 1))"
     return _bind(name, "u", f"concat({_letters(key, 'mail', 'u', _classes('u'))}, '@', substring_index({m}, '@', -1))")
@@ -184,19 +212,24 @@ def pseudonym(m: str, key: str = KEY) -> str:
     return (
         f"case when {_full(m, '[^@]+@.*')} then {_mail(key, m)} when {_full(m, '(?:AKIA|ASIA)[A-Z0-9]{16}')} then {cloud} "
         f"when {_full(m, '(?s)[A-Za-z_]+[ ]*.*[=:].*')} then {_secret(key, m)} when {_full(m, '[A-Z]{2}[0-9]{2}[A-Z0-9]+')} then {_iban(key, m)} "
+        f"when {_full(m, '[A-Z]{2}[0-9]{2} .*')} then {_spaced_iban(key, m)} "
         f"when {_full(m, '[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}')} then {_date(key, m)} "
         f"when {_full(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')} then {_ssn(key, m)} when {_full(m, '([0-9]{1,3}[.]){3}[0-9]{1,3}')} then {_ip(key, m)} "
-        f"when {_full(m, PHONE)} then {_phone(key, m)} else {_card(key, m)} end"
+        f"when {_full(m, PHONE)} then {_phone(key, m)} else {m} end"
     )
 
 
 def apply(docs: DataFrame, key: str = KEY, name: str = "n_pseudonyms") -> DataFrame:
     """docs with text pseudonymised and the number of pseudonyms added or replaced under `name`."""
     base = [c for c in docs.columns if c != name]
-    p, n = _q(PATTERN), fresh(docs, "__new")
-    hit = f"(text is not null and text rlike {p})"
-    new = f"transform(regexp_extract_all(text, {p}, 0), m -> named_struct('m', m, 'p', {pseudonym('m', key)}))"
-    out = docs.select(*base).withColumn(n, F.expr(f"if({hit}, {new}, null)"))
-    text = F.expr(f"if({n} is null, text, array_join(zip_with(split(text, {p}, -1), {n}, (a, b) -> concat(a, coalesce(b.p, ''))), ''))")
-    count = F.expr(f"coalesce(size(filter({n}, x -> x.m <> x.p)), 0)")
+    p, r, n = _q(PATTERN), _q(RUN), fresh(docs, "__new")
+    # Pieces between candidates and the pseudonyms behind them; the cards of a piece, with the number of cards.
+    run = _bind(_cards(key, "m"), "t", "named_struct('p', translate(t, 'KLMNOPQRSTabcdefghij', '01234567890123456789'), 'n', length(t) - length(translate(t, 'KLMNOPQRST', '')))")
+    runs = f"transform(regexp_extract_all(a, {r}, 0), m -> {run})"
+    piece = f"if(a rlike {r}, {_bind(runs, 'c', f"named_struct('p', array_join(zip_with(split(a, {r}, -1), c, (u, v) -> concat(u, coalesce(v.p, ''))), ''), 'n', aggregate(c, 0, (k, v) -> k + v.n))")}, named_struct('p', a, 'n', 0))"
+    new = f"transform(regexp_extract_all(text, {p}, 0), m -> {_bind(pseudonym('m', key), 'o', "named_struct('p', o, 'n', if(m <> o, 1, 0))")})"
+    both = f"zip_with(transform(split(text, {p}, -1), a -> {piece}), {new}, (a, b) -> named_struct('p', concat(a.p, coalesce(b.p, '')), 'n', a.n + coalesce(b.n, 0)))"
+    out = docs.select(*base).withColumn(n, F.expr(f"if(text is not null and (text rlike {p} or text rlike {r}), {both}, null)"))
+    text = F.expr(f"if({n} is null, text, array_join(transform({n}, x -> x.p), ''))")
+    count = F.expr(f"coalesce(aggregate({n}, 0, (k, x) -> k + x.n), 0)")
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in base], count.cast("int").alias(name))

@@ -26,3 +26,17 @@ def test_secret_names_in_capitals_and_long_values(spark):
     assert len(new) == len(jwt) and out[3][0] == f'password="{new}"'
     assert all(new[i : i + 12] != jwt[i : i + 12] for i in range(0, len(jwt) - 12, 12)) and [i for i, c in enumerate(new) if c == "."] == [i for i, c in enumerate(jwt) if c == "."]
     assert len(out[4][0]) == len("secret: ") + 130
+
+
+def test_cards_beside_short_numbers_and_spaced_ibans(spark):
+    card, iban = "4111111111111111", "DE89370400440532013000"
+    texts = [card, f"{card} 123", "4111 1111 1111 1111 12/27", f"1 {card}", f"12 34 4111 1111 1111 1111 10.20.30.40 and {card} 5500000000000004", "x 12 4111-1111-1111-1111 555-223-4567"]
+    texts += [iban, "DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00 EUR", f"ES91 2100 0418 4502 0005 1332 2024 {card}", "12 34 56 78 90 12 34 56 78 91 and DE88 3704 0044 0532 0130 00"]
+    out = pseudonyms(spark, texts)
+    new, four = out[0][0], lambda s, by=" ": by.join(s[i : i + 4] for i in range(0, len(s), 4))
+    assert new != card and [n for _, n in out] == [1, 1, 1, 1, 4, 2, 1, 1, 1, 2, 0]
+    assert [t for t, _ in out[1:4]] == [f"{new} 123", f"{four(new)} 12/27", f"1 {new}"]
+    assert out[4][0].startswith(f"12 34 {four(new)} ") and f" and {new} " in out[4][0] and "10.20.30.40" not in out[4][0] and "5500000000000004" not in out[4][0]
+    assert out[5][0].startswith(f"x 12 {four(new, '-')} ") and "555-223-4567" not in out[5][0]
+    assert out[7][0] == four(out[6][0]) != texts[7] and out[8][0] == f"{out[7][0]} EUR"
+    assert out[9][0].endswith(f" 2024 {new}") and "2100 0418" not in out[9][0] and out[10][0] == texts[10]
