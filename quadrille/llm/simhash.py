@@ -191,22 +191,34 @@ def fingerprint_hex(column: str = "fp"):
 
 WIDE = 8
 #: Bits of the first word that may differ: at a similarity of 0.8 about ten do, with a deviation of three.
-FIRST_RADIUS = 16
+FIRST_RADIUS = 18
+#: Standard errors that a candidate may lie above the bits expected at the similarity.
+MARGIN = 3.5
+#: Texts of a candidate group that one side of a block pair holds.
+BLOCK = 512
 
 
-def wide_fingerprint(text: str | None, words: int) -> bytes:
-    """SimHash of WIDE 64-bit words; the first is fingerprint(), the others mix each shingle's hash anew."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of words; a shorter text is one shingle, one without words has none."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     if not tokens:
-        return bytes(8 * WIDE)
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     length = np.fromiter(map(len, tokens), np.int64, len(tokens))
     stop = np.cumsum(length + 1) - 1
-    start, n = stop - length, max(1, len(tokens) - words + 1)
+    start = stop - length
     stop = stop[words - 1 :] if len(tokens) >= words else stop[-1:]
-    count, digest = np.zeros(64 * WIDE, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, 8192):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(start[at : min(n, at + 8192)].tolist(), stop[at : at + 8192].tolist())], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(start.tolist(), stop.tolist())], np.uint64))
+
+
+def wide_of(hashes: np.ndarray) -> bytes:
+    """SimHash of WIDE 64-bit words of a set of shingles; the first takes the hashes as they are, the others mix them anew."""
+    if not len(hashes):
+        return bytes(8 * WIDE)
+    count = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), 8192):
+        h = hashes[at : at + 8192]
         all_ = np.empty((len(h), WIDE), np.uint64)
         for k in range(WIDE):
             x = h + np.uint64((k * 0x9E3779B97F4A7C15) % 2**64) if k else h
@@ -216,34 +228,89 @@ def wide_fingerprint(text: str | None, words: int) -> bytes:
                 x = x ^ (x >> np.uint64(31))
             all_[:, k] = x
         count += np.unpackbits(all_.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(count * 2 > n, bitorder="little").tobytes()
+    return np.packbits(count * 2 > len(hashes), bitorder="little").tobytes()
+
+
+def wide_fingerprint(text: str | None, words: int) -> bytes:
+    return wide_of(shingles(text, words))
 
 
 def wide_radius(similarity: float) -> int:
-    """Differing bits at which two shingle sets of this Jaccard similarity are expected, and one standard error."""
+    """Differing bits up to which two shingle sets are candidates for this Jaccard similarity: the number expected and MARGIN standard errors."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * WIDE
-    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+    return round(bits * share + MARGIN * math.sqrt(bits * share * (1 - share)))
+
+
+def confirmed(ids: np.ndarray, sets: list[np.ndarray], split: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs whose sets have at least this Jaccard similarity: of rows before split with rows from split on, or among all rows where split is 0.
+
+    Candidates are met in the order of their distance; a pair that the forest joins already is not computed."""
+    wide = np.frombuffer(b"".join(map(wide_of, sets)), np.uint64).reshape(-1, WIDE)
+    size, root, radius = np.array([len(x) for x in sets], np.int64), np.arange(len(ids)), wide_radius(similarity)
+    left, right = [], []
+    for k in range(split or len(ids)):
+        at = split or k + 1
+        far = np.bitwise_count(wide[at:] ^ wide[k]).sum(1, dtype=np.int64)
+        small, large = np.minimum(size[at:], size[k]), np.maximum(size[at:], size[k])
+        near = np.flatnonzero((far <= radius) & (small >= similarity * large))
+        for j in (near[np.argsort(far[near], kind="stable")] + at).tolist():
+            if root[j] == root[k]:
+                continue
+            both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+            if both >= similarity * (size[k] + size[j] - both):
+                left.append(k)
+                right.append(j)
+                a, b = root[k], root[j]
+                root[root == max(a, b)] = min(a, b)
+    return ids[np.array(left, np.int64)], ids[np.array(right, np.int64)]
+
+
+def similar_links(docs: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
+    """A spanning set of links (a, b) between ids of one group whose shingle sets have at least this Jaccard similarity.
+
+    docs: doc_id, text; groups: id, component.  A group is cut into blocks of
+    texts, and each pair of its blocks is one task's, so no group is too large."""
+    parts = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    placed = groups.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = docs.join(placed, F.col("doc_id") == F.col("id")).select("id", "text", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    pairs = met.select("component", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "text")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        first = (frame["part"] == frame["lo"]).to_numpy()
+        order = np.argsort(~first, kind="stable")
+        split = 0 if first.all() and (frame["lo"] == frame["hi"]).all() else int(first.sum())
+        sets = [shingles(t, words) for t in frame["text"].iloc[order]]
+        left, right = confirmed(frame["id"].to_numpy(np.int64)[order], sets, split, similarity)
+        return pd.DataFrame({"a": left, "b": right})
+
+    return pairs.groupBy("component", "lo", "hi").applyInPandas(lean_groups(compare), "a long, b long")
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
-    """doc_id, component_id: groups linked by a similarity of word shingles, as wide fingerprints tell it.
+    """doc_id, component_id: groups linked by a Jaccard similarity of the sets of word shingles.
 
-    The first word is compared tile by tile as in links(); pairs within
-    FIRST_RADIUS are then held to wide_radius(similarity) over all words, where
-    unrelated texts, half of whose bits differ, never come."""
+    Wide fingerprints give candidates only: the first word is compared tile by
+    tile as in links(), and pairs within FIRST_RADIUS are held to
+    wide_radius(similarity) over all words.  Inside the groups of candidates
+    every link is then confirmed on the shingle sets themselves."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            wide = [wide_fingerprint(t, words) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(np.int64), "fp": [int.from_bytes(w[:8], "little", signed=True) for w in wide], "wide": wide})
+            sets = [shingles(t, words) for t in frame["text"]]
+            wide = [wide_of(h) for h in sets]
+            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(np.int64), "fp": [int.from_bytes(w[:8], "little", signed=True) for w in wide], "wide": wide, "content": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]})
 
     usable = small_batches(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fps = settle(usable.mapInPandas(lean(run), "doc_id long, fp long, wide binary"), "wide")
-    nodes = settle(fps.groupBy("fp", "wide").agg(F.min("doc_id").alias("id")), "wide-nodes")
-    found = components(links(nodes, FIRST_RADIUS, tile, wide_radius(similarity)))
-    named = nodes.join(found, "id", "left").select("wide", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(named, "wide").select("doc_id", "component_id")
+    fps = settle(usable.mapInPandas(lean(run), "doc_id long, fp long, wide binary, content binary"), "wide")
+    # Texts of one set of shingles are one node.
+    nodes = settle(fps.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("wide").alias("wide")), "wide-nodes")
+    groups = components(links(nodes.select("id", "fp", "wide"), FIRST_RADIUS, tile, wide_radius(similarity)))
+    # The smallest id of a group may be missing as a node of its own group.
+    groups = settle(groups.union(groups.select(F.col("component").alias("id"), "component")).distinct(), "groups")
+    found = components(similar_links(usable, groups, words, similarity))
+    named = nodes.join(found, "id", "left").select("content", F.coalesce("component", "id").alias("component_id"))
+    return fps.join(named, "content").select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
