@@ -36,7 +36,7 @@ def op3_media(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op4_substring(spark: SparkSession, d: str) -> DataFrame:
-    out = substring.apply(table(spark, d, "documents"))
+    out = substring.apply(table(spark, d, "documents"), whole_lines=True)
     return out.select("doc_id", "text", "n_units", F.size("spans").alias("n_removed"), "spans")
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from quadrille.llm import pii, simhash
+from quadrille.llm import pii, queries, simhash, substring
 
 
 def pseudonyms(spark, texts):
@@ -73,3 +73,19 @@ def test_near_copies_are_confirmed_by_shingle_sets(spark, monkeypatch):
         monkeypatch.setattr(simhash, "BLOCK", block)
         got = {x["doc_id"]: x["component_id"] for x in simhash.similar(df).collect()}
         assert got == dict(enumerate(low))
+
+
+def test_repeated_short_lines_go(spark, tmp_path):
+    import re
+
+    texts = ["All rights reserved.\nfirst text of its own here. Yes. Yes.\n---", "second. Yes. No.\nALL  rights reserved.\n---", "Yes. No.\nthird\nYes. No.\n\nAll rights reserved. third", "---\nthird\n---\nfourth", "   \n\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in queries.op4_substring(spark, str(tmp_path)).collect()}
+    assert [rows[i]["text"] for i in range(5)] == [texts[0], "second. Yes. No.\n", "Yes. No.\nthird\n\nAll rights reserved. third", "fourth", "   \n\n"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    seen, again = set(), 0
+    for r in substring.apply(docs, whole_lines=True).orderBy("doc_id").collect():
+        for line in filter(None, (" ".join(x.casefold().split()) for x in re.split("\n", r["text"] or ""))):
+            again += line in seen and len(line.split()) < substring.MIN_WORDS
+            seen.add(line)
+    assert again == 0
