@@ -52,3 +52,16 @@ def clamp_steps(meta: GridMeta, level: str, d: str = "d") -> str:
     return " + ".join(
         f"if({d} > {k} and {level} - {k} > 0 and {extent_sql(meta, a, f'{level} - {k}')} % 2 = 1 and shiftright({a}, {k}) = {extent_sql(meta, a, f'{level} - {k}')} - 1, 1, 0)" for a in AXES for k in range(meta.l_max + 1)
     )
+
+
+#: A prime whose square fits a long, and odd factors of the key's parts.
+PRIME, FACTORS = 2147483647, {"level": 73856093, "z": 19349663, "x": 83492791, "y": 49979687}
+
+
+def noise(seed: int) -> str:
+    """SQL for a number in [0, 1) from a cell's key: a mix modulo a prime, squared twice."""
+    at = " + ".join(f"cast({c} + 1 as bigint) * {f}" for c, f in FACTORS.items())
+    for _ in range(2):
+        at = f"(({at} + {(seed + 1) * 1000003}) % {PRIME})"
+        at = f"({at} * {at} % {PRIME} + {at})"
+    return f"({at} % {PRIME} / cast({PRIME} as double))"

@@ -3,8 +3,8 @@
 The cells are solved at half resolution.  V_l is the required level, clipped
 and max-downsampled; N_l its maximum over the direct neighbourhood.  A cell is
 typed where N_l <= l, and is part of the solution where its parent is not
-typed, so the whole scheme is one window per axis and one join per level, all
-levels in one plan and no mutable state.
+typed, so the whole scheme is one pass over blocks with a halo of one cell and
+one anti-join, all levels in one plan and no mutable state.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.keys import CELL, KEY, clamp_weight, inside
-from quadrille.operators import dense
+from quadrille.functions.keys import CELL, KEY, inside
+from quadrille.operators import blocks, dense
+from quadrille.plans.grids import densify
 from quadrille.plans.meta import AXES, GridMeta
 
 SEED, BOUNDARY, FILLER = 1, 2, 3
@@ -55,11 +56,12 @@ class Parameters:
     auto: bool = False
 
 
-def check(meta: GridMeta, grid: DataFrame) -> None:
-    """A grid is dense: as many rows as its extents say."""
-    n = grid.count()
-    if n != meta.pixels:
-        raise ValueError(f"the grid has {n} of {meta.pixels} cells")
+def check(meta: GridMeta, grid: DataFrame) -> int:
+    """Cells of a grid that is dense: each key once, as many as its extents say; others raise.  Tiles make the same check by themselves."""
+    r = grid.agg(F.count("*").alias("n"), *[F.min(a).alias(f"lo{a}") for a in AXES], *[F.max(a).alias(f"hi{a}") for a in AXES]).first()
+    if r["n"] != meta.pixels or any(r[f"lo{a}"] != 0 or r[f"hi{a}"] != meta.size[a] - 1 for a in AXES):
+        raise ValueError(f"the grid has {r['n']} of {meta.pixels} cells, or others")
+    return r["n"]
 
 
 def spline_offset(grid: DataFrame, smoothing: float) -> float:
@@ -81,48 +83,51 @@ def spline_coefficients(smoothing: float, tolerance: float = 1e-4) -> tuple[floa
     return b1, b2, math.sqrt(gain), size
 
 
-def smooth_spline(grid: DataFrame, meta: GridMeta, smoothing: float, tolerance: float = 1e-4, integer: bool = False) -> DataFrame:
+def smooth_spline(grid: DataFrame, meta: GridMeta, smoothing: float, tolerance: float = 1e-4, integer: bool = False, span: int = blocks.LINE) -> DataFrame:
     """Causal and anticausal second-order recursion along each line, mirrored ends.
 
-    A recursion along a line has no SQL form, so each line is one Arrow group.
-    Axes of two or fewer cells stay.  With integer, values are rounded after
-    each axis and an overflow of 16 bits raises."""
+    A recursion along a line has no SQL form: runs of many lines are arrays,
+    stepped through together.  A long line is cut into runs with a halo four
+    times the impulse response, beyond which a start is forgotten to within
+    tolerance ** 4.  Axes of two or fewer cells stay.  With integer, values are
+    rounded after each axis and an overflow of 16 bits raises."""
     if smoothing <= 0:
         return grid
     b1, b2, gain, size = spline_coefficients(smoothing, tolerance)
+    h = np.zeros(size)
+    for k in range(size):
+        h[k] = gain * (k == 0) + (b1 * h[k - 1] if k > 0 else 0) + (b2 * h[k - 2] if k > 1 else 0)
     out = grid.select(*KEY, F.col("v").cast("double").alias("v"))
     for axis in ("y", "x", "z"):
-        n = meta.size[axis]
-        if n <= 2:
-            continue
-        h = np.zeros(size)
-        for k in range(size):
-            h[k] = gain * (k == 0) + (b1 * h[k - 1] if k > 0 else 0) + (b2 * h[k - 2] if k > 1 else 0)
-
-        out = out.groupBy(*[a for a in AXES if a != axis]).applyInPandas(_recursion(axis, n, h, gain, b1, b2, integer), "z int, x int, y int, v double")
+        if meta.size[axis] > 2:
+            out = blocks.lines(out, meta, axis, 4 * size, ["v"], _recursion(meta.size[axis], h, gain, b1, b2, integer), "z int, x int, y int, v double", span)
     return out
 
 
-def _recursion(axis: str, n: int, h: np.ndarray, gain: float, b1: float, b2: float, integer: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    size, turn = len(h), max(1, 2 * (n - 1))
-    at = np.arange(size)
+def _recursion(n: int, h: np.ndarray, gain: float, b1: float, b2: float, integer: bool) -> Callable[[dict, int], dict]:
+    turn, at = max(1, 2 * (n - 1)), np.arange(len(h))
     mirror = lambda i: np.abs((i + n - 1) % turn - (n - 1))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(axis)
-        v = frame["v"].to_numpy()
-        f, g = np.empty(n), np.empty(n)
-        f[0], f[1] = (h * v[mirror(at)]).sum(), (h * v[mirror(1 - at)]).sum()
-        for k in range(2, n):
-            f[k] = gain * v[k] + b1 * f[k - 1] + b2 * f[k - 2]
-        g[-1], g[-2] = (h * f[mirror(n - 1 + at)]).sum(), (h * f[mirror(n - 2 + at)]).sum()
-        for k in range(n - 3, -1, -1):
-            g[k] = gain * f[k] + b1 * g[k + 1] + b2 * g[k + 2]
+    def starts(v: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m = v.shape[1]
+        return v[:, np.clip(first, 0, m - 1)] @ h, v[:, np.clip(second, 0, m - 1)] @ h
+
+    def run(x: dict[str, np.ndarray], lo: int) -> dict[str, np.ndarray]:
+        v = x["v"]
+        m = v.shape[1]
+        f, g = np.empty_like(v), np.empty_like(v)
+        f[:, 0], f[:, 1] = starts(v, mirror(at) - lo, mirror(1 - at) - lo)
+        for k in range(2, m):
+            f[:, k] = gain * v[:, k] + b1 * f[:, k - 1] + b2 * f[:, k - 2]
+        end = lo + m
+        g[:, -1], g[:, -2] = starts(f, mirror(end - 1 + at) - lo, mirror(end - 2 + at) - lo)
+        for k in range(m - 3, -1, -1):
+            g[:, k] = gain * f[:, k] + b1 * g[:, k + 1] + b2 * g[:, k + 2]
         if integer:
             g = np.round(g)
             if g.max(initial=0) > 65535 or g.min(initial=0) < -32768:
                 raise OverflowError("smoothed values leave the range of the grid's type")
-        return frame.assign(v=g)
+        return {"v": g}
 
     return run
 
@@ -151,12 +156,6 @@ def gradient_magnitude_half(grid: DataFrame, meta: GridMeta, h: dict[str, float]
     return dense.downsample(grid.select(*KEY, _magnitude(h).alias("v")), meta, "max")
 
 
-def gradient_and_mean_half(grid: DataFrame, meta: GridMeta, h: dict[str, float] | None = None) -> DataFrame:
-    """grad and half (the mean) of each cell at half resolution, in one pass over the grid."""
-    both = grid.select(*KEY, "v", _magnitude(h).alias("g"))
-    return both.groupBy(*[F.shiftright(a, 1).alias(a) for a in KEY]).agg(F.max("g").alias("grad"), (F.sum(F.col("v") * clamp_weight(meta.size)) / 8).alias("half"))
-
-
 def windows(meta: GridMeta, psf_over_pixel: float) -> tuple[dict[str, int], dict[str, int], float]:
     """Radii of both means on the active axes, and the scale factor."""
     i = min(max(round(psf_over_pixel) - 1, 0), 5)
@@ -204,27 +203,35 @@ def apply_parameters(fields: DataFrame, p: Parameters) -> DataFrame:
     return fields.select(*KEY, grad.alias("grad"), scale.alias("scale"))
 
 
-def threshold_li(grid: DataFrame, column: str = "v", integer: bool = False, tolerance: float | None = None) -> float:
-    """Minimum cross entropy threshold.  The histogram of values is the only thing iterated on, by aggregates of it."""
-    hist = grid.groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n")).cache()
-    r = hist.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean")).first()
+#: Bins of the histogram that a threshold is found on; integer grids of a smaller range have a bin for each value.
+BINS = 65536
+
+
+def threshold_li(grid: DataFrame, column: str = "v", integer: bool = False, tolerance: float | None = None, rounds: int = 200) -> float:
+    """Minimum cross entropy threshold.
+
+    Two passes over the data: the range, and a histogram of equal bins with
+    the sum of each, which bounds what reaches the driver; the iteration runs
+    on the bins.  Raises where it doesn't settle within the rounds."""
+    r = grid.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")).first()
     if r["lo"] is None or r["lo"] == r["hi"]:
-        hist.unpersist()
         return float(r["lo"] or 0.0)
+    width = 1.0 if integer and r["hi"] - r["lo"] < BINS else (r["hi"] - r["lo"]) / BINS
+    above = F.col(column) - F.lit(r["lo"])
+    rows = grid.groupBy(F.least(F.floor(above / width), F.lit(BINS - 1)).alias("b")).agg(F.count("*").alias("n"), F.sum(above).alias("s")).toPandas().sort_values("b")
+    b, n, s = rows["b"].to_numpy(), rows["n"].to_numpy(float), rows["s"].to_numpy(float)
     tol = tolerance or (0.5 if integer else min(0.01, (r["hi"] - r["lo"]) * 1e-4))
-    shift, t = r["lo"], r["mean"] - r["lo"]
-    for _ in range(200):
-        fore = F.col("x") - shift > t
-        m = hist.agg((F.sum(F.when(fore, (F.col("x") - shift) * F.col("n"))) / F.sum(F.when(fore, F.col("n")))).alias("f"), (F.sum(F.when(~fore, (F.col("x") - shift) * F.col("n"))) / F.sum(F.when(~fore, F.col("n")))).alias("b")).first()
-        if m["f"] is None or not m["b"] or m["b"] <= 0:
-            break
-        new = (m["f"] - m["b"]) / (math.log(m["f"]) - math.log(m["b"]))
-        done = abs(new - t) <= tol
+    t = s.sum() / n.sum()
+    for _ in range(rounds):
+        fore = b > math.floor(t / width)
+        if fore.all() or not fore.any() or s[~fore].sum() <= 0:
+            return float(t + r["lo"])
+        f, back = s[fore].sum() / n[fore].sum(), s[~fore].sum() / n[~fore].sum()
+        new = (f - back) / (math.log(f) - math.log(back))
+        if abs(new - t) <= tol:
+            return float(new + r["lo"])
         t = new
-        if done:
-            break
-    hist.unpersist()
-    return float(t + shift)
+    raise RuntimeError(f"the threshold did not settle within {rounds} rounds")
 
 
 def auto_parameters(fields: DataFrame, intensity: DataFrame, p: Parameters) -> Parameters:
@@ -244,7 +251,7 @@ def level_pyramid(required: DataFrame, meta: GridMeta) -> DataFrame:
     """level, key, v: the clipped required level of half resolution and its maxima at coarser levels."""
     top = max(1, meta.l_max - 1)
     clipped = required.select(*KEY, F.least(F.greatest(F.col("v"), F.lit(meta.l_min)), F.lit(top)).cast("int").alias("v"))
-    return dense.pyramid(clipped, meta.half(), "max", meta.l_min, top)
+    return blocks.pyramid(clipped, meta.half(), "max", meta.l_min, top).select(*CELL, "v")
 
 
 def fill_seeds(pyr: DataFrame, meta: GridMeta) -> DataFrame:
@@ -258,10 +265,7 @@ def solve(required: DataFrame, meta: GridMeta, settle: Settle = lambda df: df) -
     """level, z, x, y, type of the optimal valid cell set at half resolution."""
     top = max(1, meta.l_max - 1)
     pyr = level_pyramid(required, meta)
-    near = pyr.withColumn("n", F.col("v"))
-    for a in meta.half().active:
-        w = dense.Window.partitionBy("level", *[b for b in AXES if b != a]).orderBy(a).rangeBetween(-1, 1)
-        near = near.withColumn("n", F.max("n").over(w))
+    near = blocks.neighbourhood_max(pyr, meta)
     l = F.col("level")
     typed = near.where(F.col("n") <= l).select(*CELL, F.when(F.col("v") == l, SEED).when(F.col("n") == l, BOUNDARY).otherwise(FILLER).alias("type"))
     typed = settle(typed)
@@ -270,6 +274,11 @@ def solve(required: DataFrame, meta: GridMeta, settle: Settle = lambda df: df) -
     return child.join(parents, ["level", "pz", "px", "py"], "left_anti").select(*CELL, "type")
 
 
+def solve_sparse(required: DataFrame, meta: GridMeta, settle: Settle = lambda df: df) -> DataFrame:
+    """solve() for required levels of which only those above zero are there."""
+    return solve(densify(required.select(*KEY, F.col("v").cast("int").alias("v")), meta.half()), meta, settle)
+
+
 def cells_to_leaves(solved: DataFrame, meta: GridMeta, neighbourhood: bool = True) -> DataFrame:
     """level, z, x, y of the leaves at full resolution: split types give their children, the others stay."""
     split = F.col("type") <= (SEED if neighbourhood else BOUNDARY)
@@ -294,31 +303,79 @@ def all_pixels(spark, meta: GridMeta) -> DataFrame:
     return cells(spark, meta).select(F.lit(meta.l_max).alias("level"), *KEY)
 
 
-def fields(grid: DataFrame, meta: GridMeta, p: Parameters, settle: Settle = lambda df: df) -> tuple[DataFrame, DataFrame]:
-    """Gradient and scale at half resolution (key, grad, scale), and the mean-downsampled intensity."""
+def tiled_fields(grid: DataFrame, meta: GridMeta, p: Parameters, edge: int | None = None) -> DataFrame:
+    """key, grad, half, scale at half resolution from tiles with ghosts: one shuffle for the gradient, the mean and the windows of the scale.
+
+    scale is null where it is one number for the whole grid."""
+    first, second, factor = windows(meta.half(), p.psf / p.dx)
+    whole = p.constant_scale or not first
+    reach = {a: 0 if whole else first.get(a, 0) + second.get(a, 0) for a in AXES}
+    ghost = {a: 2 * reach[a] + 2 if meta.size[a] > 1 else 0 for a in AXES}
+    steps = {"y": p.dy, "x": p.dx, "z": p.dz}
+
+    def mean(v: np.ndarray, axis: int, r: int) -> np.ndarray:
+        """Over [k - r, k + r] clipped to the line; cells whose window leaves the tile are not used."""
+        m = v.shape[axis]
+        total = np.concatenate([np.zeros_like(np.take(v, [0], axis)), np.cumsum(v, axis)], axis)
+        high, low = np.minimum(np.arange(m) + r, m - 1) + 1, np.maximum(np.arange(m) - r, 0)
+        count = (high - low).reshape([-1 if i == axis else 1 for i in range(3)])
+        return (np.take(total, high, axis) - np.take(total, low, axis)) / count
+
+    def work(v, lo, start, stop):
+        v, square = v.astype(float), 0.0
+        for i, a in enumerate(AXES):
+            m = v.shape[i]
+            d = (np.take(v, [*range(1, m), m - 1], i) - np.take(v, [0, *range(m - 1)], i)) / (2 * steps[a])
+            square = square + d * d
+        grad, half = blocks.halved(np.sqrt(square), "max"), blocks.halved(v, "sum") / 8
+        origin = {a: lo[a] // 2 for a in AXES}
+        out = {"grad": grad, "half": half}
+        if not whole:
+            s = half
+            for radii, absolute in ((first, True), (second, False)):
+                for a in ("y", "x", "z"):
+                    if a in radii:
+                        s = mean(s, AXES.index(a), radii[a])
+                s = np.abs(s - half) if absolute else s
+            out["scale"] = s * factor
+        cut = tuple(slice(start[a] // 2 - origin[a], -(-stop[a] // 2) - origin[a]) for a in AXES)
+        rows = blocks.rows_of_array({n: x[cut] for n, x in out.items()}, {a: start[a] // 2 for a in AXES})
+        return rows if not whole else rows.assign(scale=np.nan)
+
+    return blocks.tiles(grid, meta, ghost, work, "z int, x int, y int, grad double, half double, scale double", edge)
+
+
+def fields(grid: DataFrame, meta: GridMeta, p: Parameters, settle: Settle = lambda df: df, edge: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Gradient and scale at half resolution (key, grad, scale), and the mean-downsampled intensity.
+
+    Tiles with ghosts do all of it in one shuffle; smoothing and mirrored windows reach further and take passes of their own."""
     steps = {"y": p.dy, "x": p.dx, "z": p.dz}
     work = grid.withColumn("v", F.col("v").cast("double"))
     if p.smoothing > 0:
         work = settle(smooth_spline(work, meta, p.smoothing))
         grad = gradient_magnitude_half(work, meta, steps).withColumnRenamed("v", "grad")
         both = settle(grad.join(dense.downsample(inverse_spline(work, meta), meta, "mean").withColumnRenamed("v", "half"), KEY))
+        own = False
     else:
-        both = settle(gradient_and_mean_half(work, meta, steps))
+        both = settle(tiled_fields(work, meta, p, edge))
+        own = not (p.constant_scale or p.reflect or not windows(meta.half(), p.psf / p.dx)[0])
     half = both.select(*KEY, F.col("half").alias("v"))
     if p.intensity_th:
         both = both.withColumn("grad", F.when(F.col("half") <= p.intensity_th, 0.0).otherwise(F.col("grad")))
+    if own:
+        return both.select(*KEY, "grad", "scale"), half
     scale = local_scale(half, meta.half(), p)
     return both.select(*KEY, "grad").join(scale.withColumnRenamed("v", "scale"), KEY), half
 
 
-def convert(grid: DataFrame, meta: GridMeta, p: Parameters = Parameters(), settle: Settle = lambda df: df) -> DataFrame:
-    """Leaves of the adaptive representation of a dense grid.
+def convert(grid: DataFrame, meta: GridMeta, p: Parameters = Parameters(), settle: Settle = lambda df: df, edge: int | None = None) -> DataFrame:
+    """Leaves of the adaptive representation of a dense grid.  edge: of the tiles, in pixels, even.
 
     settle writes and cuts what several later steps read: the half-resolution
     fields and the typed cells, an eighth of the grid or less."""
     if meta.l_max <= 2:
         return all_pixels(grid.sparkSession, meta)
-    both, half = fields(grid, meta, p, settle)
+    both, half = fields(grid, meta, p, settle, edge)
     if p.auto:
         p = auto_parameters(both, half, p)
     return leaves(levels(apply_parameters(both, p), meta, p), meta, p.neighbourhood, settle)

@@ -1,17 +1,19 @@
-"""Per-level linear denoising kernels: normal equations as one aggregation, solved on the driver.
+"""Per-level linear denoising kernels: normal equations as sums of partial Gram matrices, solved on the driver.
 
 For each level a kernel predicts a cell from the places around it (the centre
-left out of the regression).  The places' products are summed per level in
-SQL; only the Gram matrices, set by the kernel size, reach the driver."""
+left out of the regression).  A block of cells multiplies its patches with
+themselves once; the partial matrices are summed by row, and only one for each
+level, set by the kernel size, reaches the driver."""
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.functions.keys import CELL
-from quadrille.operators import filters
+from quadrille.functions.keys import CELL, noise
+from quadrille.operators import blocks, filters, particles
 from quadrille.plans.meta import AXES, GridMeta
 
 
@@ -19,36 +21,43 @@ def half_widths(meta: GridMeta, fine: int = 4, coarse: int = 1) -> dict[int, dic
     return {l: {a: 0 if meta.size[a] == 1 else (fine if l == meta.l_max else coarse) for a in AXES} for l in range(meta.l_min, meta.l_max + 1)}
 
 
-def _patches(cells: DataFrame, meta: GridMeta, level: int, half: dict[str, int]) -> DataFrame:
-    """level, z, x, y, p: array of the values at the places of the kernel, in its order; whole patches only."""
-    shape = [2 * half[a] + 1 for a in AXES]
-    n = int(np.prod(shape))
-    index = np.arange(n, dtype=float).reshape(shape)
-    got = filters.gather(cells, meta, [index], True).where(F.col("level") == level)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("w", "nv"))), lambda s: s.nv)
-    return got.groupBy(*CELL).agg(ordered.alias("p")).where(F.size("p") == n)
+def _kernels(meta: GridMeta, shapes: dict[int, list[int]]) -> list[np.ndarray]:
+    return [np.ones(shapes[l]) for l in range(meta.l_max, meta.l_min - 1, -1)]
 
 
 def train(cells: DataFrame, meta: GridMeta, truth: DataFrame | None = None, fine: int = 4, coarse: int = 1, fraction: float = 1.0, seed: int = 0, ridge: float = 1e-6, centre: float = 0.0) -> dict[int, np.ndarray]:
-    """level -> kernel.  truth: cells with the values to predict, by default the cells' own.  A sum that is not finite gives the identity."""
+    """level -> kernel, over whole patches.  truth: cells with the values to predict, by default the cells' own.
+
+    fraction: share of the cells that are learned from, chosen by their key and
+    the seed.  A level without cells, or a kernel that is not finite or sums to
+    nothing, gives the identity."""
+    target = F.col("v") if truth is None else F.col("__t")
+    rows = cells.select(*CELL, "v") if truth is None else cells.select(*CELL, "v").join(truth.select(*CELL, F.col("v").alias("__t")), CELL, "left")
+    if fraction < 1:
+        # As particles.sampled(): the other cells stay places of patches.
+        target = F.when(F.expr(noise(seed)) < fraction, target)
+    shapes = {l: [2 * half[a] + 1 for a in AXES] for l, half in half_widths(meta, fine, coarse).items()}
+
+    def products(l, p, there, w, e):
+        whole = there.all(1) & ~np.isnan(e)
+        x = np.column_stack([p[whole], e[whole]])
+        g = x.T @ x
+        return pd.DataFrame({"level": np.full(len(g), l, np.int32), "i": np.arange(len(g), dtype=np.int32), "s": list(g)})
+
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"level": frame["level"].iloc[:1], "i": frame["i"].iloc[:1], "s": [np.sum(np.stack([*frame["s"]]), axis=0)]})
+
+    schema = "level int, i int, s array<double>"
+    part = blocks.patches(rows, meta, _kernels(meta, shapes), True, particles.tree_mean(cells, meta), products, schema, by_cell=False, extra=target)
+    found = part.groupBy("level", "i").applyInPandas(total, schema).toPandas().sort_values(["level", "i"])
     out = {}
-    target = (cells if truth is None else truth).select(*CELL, F.col("v").cast("double").alias("t"))
-    for level, half in half_widths(meta, fine, coarse).items():
-        shape = [2 * half[a] + 1 for a in AXES]
+    for level, shape in shapes.items():
         n, mid = int(np.prod(shape)), int(np.prod(shape)) // 2
         identity = np.zeros(n)
         identity[mid] = 1.0
-        rows = _patches(cells, meta, level, half).join(target, CELL)
-        if fraction < 1:
-            rows = rows.sample(fraction, seed)
-        i = F.explode(F.sequence(F.lit(0), F.lit(n)))
-        ext = rows.select(F.concat("p", F.array("t")).alias("p")).withColumn("i", i)
-        # Row i of the Gram matrix of (places, target), one array per i and partial sums per task.
-        sums = [F.sum(F.element_at("p", F.col("i") + 1) * F.element_at("p", j + 1)).alias(f"s{j}") for j in range(n + 1)]
-        got = {r["i"]: np.array([r[f"s{j}"] for j in range(n + 1)]) for r in ext.groupBy("i").agg(*sums).collect()}
-        kernel = identity
-        if got and n > 1:
-            g = np.stack([got[k] for k in range(n + 1)])
+        kernel, mine = identity, found[found["level"] == level]
+        if len(mine) and n > 1:
+            g = np.stack([*mine["s"]])
             keep = [k for k in range(n) if k != mid]
             a = g[np.ix_(keep, keep)]
             w = np.linalg.solve(a + ridge * max(1.0, float(np.trace(a)) / len(keep)) * np.eye(len(keep)), g[keep, n])
@@ -63,11 +72,7 @@ def train(cells: DataFrame, meta: GridMeta, truth: DataFrame | None = None, fine
 
 def apply(cells: DataFrame, meta: GridMeta, kernels: dict[int, np.ndarray]) -> DataFrame:
     """Convolve each level with its kernel, mirrored at the ends."""
-    parts = [filters.gather(cells, meta, [k], True).where(F.col("level") == l).groupBy(*CELL).agg(F.sum(F.col("w") * F.col("nv")).alias("v")) for l, k in kernels.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return filters.convolve(cells, meta, [kernels[l] for l in range(meta.l_max, meta.l_min - 1, -1)], True)
 
 
 def save(spark: SparkSession, kernels: dict[int, np.ndarray], path: str) -> None:

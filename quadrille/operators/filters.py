@@ -1,11 +1,10 @@
 """Stencils, level-adaptive filters and the numerics built on them.
 
 A filter at a cell of level l sees an isotropic neighbourhood at l: cells of
-l itself, coarser cells spread out, and means of finer ones.  As a plan: each
-cell explodes its stencil offsets, mirrors or drops the target outside the
-grid, and meets sources at levels l, l - 1, ... l - D by one equi-join on the
-ancestor key, D being as deep as the stencil can reach; weights are summed by
-a groupBy.  Exactly one source covers a target, so the join gives K rows per cell.
+l itself, coarser cells spread out, and means of finer ones.  As a plan: cells
+and means go to blocks of each level's image with a halo as wide as the
+stencil, one shuffle of about a row for each of them, and the stencil runs on
+arrays inside the block; no row stands for a (cell, place) pair.
 """
 
 from __future__ import annotations
@@ -17,8 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.keys import CELL, KEY, extent
-from quadrille.operators import particles
+from quadrille.functions.keys import CELL
+from quadrille.operators import blocks, particles
 from quadrille.plans.meta import AXES, GridMeta
 
 Stencil = np.ndarray  # (z, x, y), odd extents
@@ -97,38 +96,17 @@ def stencil_table(spark, kernels: list[Stencil], meta: GridMeta) -> DataFrame:
     return spark.createDataFrame(rows, "level int, oz int, ox int, oy int, w double")
 
 
-# --- gather ------------------------------------------------------------------
+# --- filters -----------------------------------------------------------------
 
 
-def gather(cells: DataFrame, meta: GridMeta, kernels: list[Stencil], reflect: bool = True, tree_values: DataFrame | None = None) -> DataFrame:
-    """level, z, x, y, w, nv: for each cell and stencil place the value there.  Places outside are mirrored, or give no row.
-
-    tree_values: values of interior cells (level, z, x, y, v), by default means."""
-    inner = particles.tree_mean(cells, meta) if tree_values is None else tree_values
-    wide = max(max(k.shape) for k in kernels) // 2
-    deep = max(1, math.ceil(math.log2(wide + 2) - 1)) if wide else 0
-    st = F.broadcast(stencil_table(cells.sparkSession, kernels, meta))
-    out = cells.select(*CELL).join(st, "level")
-    keys = []
-    for a in AXES:
-        n, c = extent(meta, a), F.col(a) + F.col(f"o{a}")
-        keys.append((F.when(c < 0, -c).when(c > n - 1, 2 * (n - 1) - c).otherwise(c) if reflect else c).alias(f"n{a}"))
-    out = out.select(*CELL, "w", *keys)
-    out = out.where(" and ".join(f"n{a} >= 0" for a in AXES)).where((F.col("nz") < extent(meta, "z")) & (F.col("nx") < extent(meta, "x")) & (F.col("ny") < extent(meta, "y")))
-    leaf = cells.select(F.col("level").alias("sl"), *[F.col(a).alias(f"s{a}") for a in KEY], F.col("v").cast("double").alias("nv"))
-    # One table of sources: finer means stand at the reader's own level only (d = 0).
-    d = F.explode(F.array(*[F.lit(i) for i in range(deep + 1)]))
-    asked = out.withColumn("d", d).where(F.col("level") - F.col("d") >= meta.l_min)
-    asked = asked.select(*CELL, "w", "d", (F.col("level") - F.col("d")).alias("sl"), *[F.call_function("shiftright", F.col(f"n{a}"), F.col("d")).alias(f"s{a}") for a in KEY])
-    mean = inner.select(F.col("level").alias("sl"), *[F.col(a).alias(f"s{a}") for a in KEY], F.col("v").cast("double").alias("nv"))
-    src = leaf.withColumn("t", F.lit(0)).unionByName(mean.withColumn("t", F.lit(1)))
-    return asked.join(src, ["sl", "sz", "sx", "sy"]).where((F.col("t") == 0) | (F.col("d") == 0)).select(*CELL, "w", "nv")
+def _inner(cells: DataFrame, meta: GridMeta, tree_values: DataFrame | None) -> DataFrame:
+    return particles.tree_mean(cells, meta) if tree_values is None else tree_values
 
 
 def convolve(cells: DataFrame, meta: GridMeta, kernels: list[Stencil] | Stencil, reflect: bool = False, tree_values: DataFrame | None = None) -> DataFrame:
-    """Level-adaptive convolution with a kernel for each level (the last for all coarser ones)."""
+    """Level-adaptive convolution with a kernel for each level (the last for all coarser ones).  Places outside are mirrored, or left out."""
     kernels = kernels if isinstance(kernels, list) else [kernels]
-    return gather(cells, meta, kernels, reflect, tree_values).groupBy(*CELL).agg(F.sum(F.col("w") * F.col("nv")).alias("v"))
+    return blocks.patches(cells, meta, kernels, reflect, _inner(cells, meta, tree_values), lambda l, p, there, w, e: {"v": blocks.weighted(p, there, w)}, "v double")
 
 
 def convolve_downsampled(cells: DataFrame, meta: GridMeta, kernel: Stencil, reflect: bool = False, normalise: bool = False) -> DataFrame:
@@ -145,21 +123,35 @@ def convolve_separable(cells: DataFrame, meta: GridMeta, lines: dict[str, list[S
 
 def generic_filter(cells: DataFrame, meta: GridMeta, size: dict[str, int], f: Callable[[Column], Column], reflect: bool = True, tree_values: DataFrame | None = None) -> DataFrame:
     """f over the sorted array of a patch's values; the patch has as many places at every level."""
-    patch = gather(cells, meta, [mean_kernel(size)], reflect, tree_values)
-    return patch.groupBy(*CELL).agg(f(F.array_sort(F.collect_list("nv"))).alias("v"))
+
+    def values(l, p, there, w, e):
+        p = np.sort(np.where(there, p, np.inf), axis=1)
+        return {"v": [x[:n] for x, n in zip(p, there.sum(1))]}
+
+    patch = blocks.patches(cells, meta, [mean_kernel(size)], reflect, _inner(cells, meta, tree_values), values, "v array<double>")
+    return patch.select(*CELL, f(F.col("v")).alias("v"))
+
+
+def _ordered(cells: DataFrame, meta: GridMeta, size: dict[str, int], pick: Callable, inner: DataFrame) -> DataFrame:
+    return blocks.patches(cells, meta, [mean_kernel(size)], True, inner, lambda l, p, there, w, e: {"v": pick(p, there)}, "v double")
 
 
 def median_filter(cells: DataFrame, meta: GridMeta, size: dict[str, int]) -> DataFrame:
     """The upper median of the patch."""
-    return generic_filter(cells, meta, size, lambda p: F.element_at(p, F.floor(F.size(p) / 2).cast("int") + 1))
+
+    def upper(p, there):
+        p = np.sort(np.where(there, p, np.inf), axis=1)
+        return np.take_along_axis(p, (there.sum(1) // 2)[:, None], 1)[:, 0]
+
+    return _ordered(cells, meta, size, upper, particles.tree_mean(cells, meta))
 
 
 def min_filter(cells: DataFrame, meta: GridMeta, size: dict[str, int]) -> DataFrame:
-    return gather(cells, meta, [mean_kernel(size)], True, particles.fold_tree(cells, "min")).groupBy(*CELL).agg(F.min("nv").alias("v"))
+    return _ordered(cells, meta, size, lambda p, there: np.where(there, p, np.inf).min(1), particles.fold_tree(cells, "min"))
 
 
 def max_filter(cells: DataFrame, meta: GridMeta, size: dict[str, int]) -> DataFrame:
-    return gather(cells, meta, [mean_kernel(size)], True, particles.fold_tree(cells, "max")).groupBy(*CELL).agg(F.max("nv").alias("v"))
+    return _ordered(cells, meta, size, lambda p, there: np.where(there, p, -np.inf).max(1), particles.fold_tree(cells, "max"))
 
 
 # --- numerics ------------------------------------------------------------------
@@ -177,41 +169,47 @@ def gradient_sobel(cells: DataFrame, meta: GridMeta, axis: str, delta: float = 1
 
 
 def gradient_magnitude(cells: DataFrame, meta: GridMeta, how: str = "cfd", deltas: dict[str, float] | None = None) -> DataFrame:
-    """Root of the squares over the active axes; all kernels share one gather."""
+    """Root of the squares over the active axes; all kernels share one pass."""
     make = {a: (difference(a, (deltas or {}).get(a, 1.0)) if how == "cfd" or meta.dimensions < 2 else sobel(a, (deltas or {}).get(a, 1.0), AXES if meta.dimensions == 3 else ("x", "y"))) for a in meta.active or ["y"]}
     parts = directional(cells, meta, make)
     return parts.select(*CELL, F.sqrt(sum((F.col(f"g{a}") * F.col(f"g{a}") for a in make), F.lit(0.0))).alias("v"))
 
 
 def directional(cells: DataFrame, meta: GridMeta, kernels: dict[str, Stencil]) -> DataFrame:
-    """level, z, x, y and g<axis> for several kernels, from one gather over the union of their places."""
+    """level, z, x, y and g<axis> for several kernels, from one pass over the union of their places; divided by the size of the cell."""
     places: dict[tuple[int, int, int], dict[str, float]] = {}
     for a, k in kernels.items():
         for z, x, y, w in rows_of(k):
             if w:
                 places.setdefault((z, x, y), {})[a] = w
     half = [max(abs(p[i]) for p in places) for i in range(3)]
-    index = np.full([2 * h + 1 for h in half], np.nan)
-    order = sorted(places)
-    for i, p in enumerate(order):
-        index[p[0] + half[0], p[1] + half[1], p[2] + half[2]] = i
-    patch = gather(cells, meta, [np.nan_to_num(index, nan=-1.0)], reflect=True).where("w >= 0")
-    scale = F.call_function("shiftleft", F.lit(1), F.least(F.lit(meta.l_max) - F.col("level"), F.lit(max(0, meta.l_max - meta.l_min - 1)))).cast("double")
-    sums = []
-    for a in kernels:
-        w = F.array(*[F.lit(places[p].get(a, 0.0)) for p in order])
-        sums.append(F.sum(F.get(w, F.col("w").cast("int")) * F.col("nv") / scale).alias(f"g{a}"))
-    return patch.groupBy(*CELL).agg(*sums)
+    shape = [2 * h + 1 for h in half]
+    of = {a: np.zeros(shape) for a in kernels}
+    for p, ws in places.items():
+        for a, w in ws.items():
+            of[a][tuple(c + h for c, h in zip(p, half))] = w
+    deepest = max(0, meta.l_max - meta.l_min - 1)
+
+    def sums(l, p, there, w, e):
+        scale = float(1 << min(meta.l_max - l, deepest))
+        out = {}
+        for a, k in of.items():
+            k = k.ravel()
+            used = np.flatnonzero(k)
+            out[f"g{a}"] = blocks.weighted(p[:, used], there[:, used], k[used]) / scale
+        return out
+
+    return blocks.patches(cells, meta, [np.ones(shape)], True, particles.tree_mean(cells, meta), sums, ", ".join(f"g{a} double" for a in kernels))
 
 
 def local_std(cells: DataFrame, meta: GridMeta, size: dict[str, int]) -> DataFrame:
-    """Root of the mean of squares minus the square of the mean; finer cells enter as their mean, squared.
+    """Root of the mean of squares minus the square of the mean; finer cells enter as their mean, squared."""
+
+    def std(l, p, there, w, e):
+        m, q = blocks.weighted(p, there, w), blocks.weighted(p * p, there, w)
+        return {"v": np.sqrt(np.maximum(q - m * m, 0.0))}
 
-    Both means are sums over one gather."""
-    kernels = downsampled_kernels(mean_kernel(size), meta, True)
-    g = gather(cells, meta, kernels, True)
-    s = g.groupBy(*CELL).agg(F.sum(F.col("w") * F.col("nv")).alias("m"), F.sum(F.col("w") * F.col("nv") * F.col("nv")).alias("q"))
-    return s.select(*CELL, F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))).alias("v"))
+    return blocks.patches(cells, meta, downsampled_kernels(mean_kernel(size), meta, True), True, particles.tree_mean(cells, meta), std, "v double")
 
 
 def adaptive_extreme(cells: DataFrame, meta: GridMeta, how: str, tree_smooth: int = 3, level_delta: int = 4, smooth: int = 3, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:

@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.functions.keys import CELL, KEY, clamp_steps, clamp_weight_by_level, extent, inside, level_size
-from quadrille.operators import dense
+from quadrille.functions.keys import CELL, KEY, clamp_steps, clamp_weight_by_level, extent, inside, level_size, noise
+from quadrille.operators import blocks, dense
 from quadrille.plans.meta import AXES, GridMeta
 
 #: Faces in the order +y, -y, +x, -x, +z, -z.
@@ -24,9 +24,9 @@ FACES = {"+y": ("y", 1), "-y": ("y", -1), "+x": ("x", 1), "-x": ("x", -1), "+z":
 # --- values ---------------------------------------------------------------
 
 
-def sample(leaves: DataFrame, grid: DataFrame, meta: GridMeta, how: str = "mean") -> DataFrame:
-    """leaves with v: the pyramid of the grid at each leaf."""
-    return leaves.join(dense.pyramid(grid, meta, how), CELL)
+def sample(leaves: DataFrame, grid: DataFrame, meta: GridMeta, how: str = "mean", edge: int | None = None) -> DataFrame:
+    """leaves with v: the pyramid of the grid at each leaf, made in tiles of an edge that is a power of two."""
+    return leaves.join(blocks.pyramid(grid, meta, how, edge=edge), CELL)
 
 
 def sample_labels(leaves: DataFrame, labels: DataFrame, meta: GridMeta, boundaries: bool = True, dilation: int = 0, retain: bool = False) -> DataFrame:
@@ -135,9 +135,15 @@ def tree(cells: DataFrame) -> DataFrame:
     return ancestors(cells).select(*CELL).distinct()
 
 
-def fold_tree(cells: DataFrame, how: str) -> DataFrame:
-    """tree with v folded over all leaves below, for an operation in any order (max, min, sum): one aggregation."""
-    return ancestors(cells, ["v"]).groupBy(*CELL).agg({"max": F.max, "min": F.min, "sum": F.sum}[how]("v").alias("v"))
+def fold_tree(cells: DataFrame, how: str | Callable[[str], Column]) -> DataFrame:
+    """tree with v folded over all leaves below: one aggregation.  how: max, min, sum, or any aggregate whose order does not matter."""
+    f = how if callable(how) else {"max": F.max, "min": F.min, "sum": F.sum}[how]
+    return ancestors(cells, ["v"]).groupBy(*CELL).agg(f("v").alias("v"))
+
+
+def sampled(cells: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
+    """About this share of the cells, without replacement: chosen by key and seed, so the same on every run and partitioning."""
+    return cells.where(F.expr(noise(seed)) < fraction)
 
 
 def tree_mean(cells: DataFrame, meta: GridMeta, l_min: int = 0) -> DataFrame:

@@ -10,8 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.keys import CELL, KEY, level_size
-from quadrille.operators import dense, particles
+from quadrille.functions.keys import CELL, KEY, level_size, noise
+from quadrille.operators import blocks, dense, particles
 from quadrille.plans.meta import AXES, GridMeta
 
 
@@ -70,27 +70,27 @@ def levels(cells: DataFrame, meta: GridMeta, patch: Patch = Patch()) -> DataFram
 def variable_mean(pixels: DataFrame, meta: GridMeta, axis: str, scale: float, cap: int) -> DataFrame:
     """pixels: key, v, level.  Mean over [k - r, k + r] cut at the ends, r from the level.
 
-    Frames must be literals, so the mean is a difference of prefix sums, which
-    two joins fetch.  Near the start of a line, from its second pixel on, the
-    first pixel is left out of a cut window."""
+    A difference of prefix sums on runs of lines with a halo of the largest
+    radius.  Near the start of a line, from its second pixel on, the first
+    pixel is left out of a cut window."""
     n = meta.size[axis]
     cap = min(cap, n // 2 - 1)
     if n == 1 or cap < 1:
         return pixels
-    w = dense.lines(axis).rowsBetween(dense.Window.unboundedPreceding, 0)
-    k = F.col(axis)
-    r = F.least(F.floor(F.pow(F.lit(2.0), F.lit(meta.l_max) - F.col("level")) / scale), F.lit(cap)).cast("int")
-    sums = pixels.select(*KEY, "v", "level", F.sum(F.col("v").cast("double")).over(w).alias("s"), r.alias("r"))
-    others = [a for a in AXES if a != axis]
-    low = F.when(k > F.col("r"), k - F.col("r") - 1).when(k > 0, F.lit(0)).otherwise(F.lit(-1))
-    asked = sums.withColumn("hi", F.least(k + F.col("r"), F.lit(n - 1))).withColumn("lo", low)
-    at = sums.select(*others, F.col(axis).alias("__k"), F.col("s").alias("__s"))
-    upper = at.select(*others, F.col("__k").alias("hi"), F.col("__s").alias("sh"))
-    lower = at.select(*others, F.col("__k").alias("lo"), F.col("__s").alias("sl"))
-    both = asked.join(upper, [*others, "hi"]).join(lower, [*others, "lo"], "left")
-    # A radius of zero is the pixel itself.
-    mean = F.when(F.col("r") == 0, F.col("v").cast("double")).otherwise((F.col("sh") - F.coalesce("sl", F.lit(0.0))) / (F.col("hi") - F.col("lo")))
-    return both.select(*KEY, mean.alias("v"), "level")
+
+    def work(x: dict[str, np.ndarray], lo: int) -> dict[str, np.ndarray]:
+        v, level = x["v"].astype(float), x["level"]
+        r = np.minimum(np.floor(2.0 ** (meta.l_max - level) / scale), cap).astype(np.int64)
+        k = np.arange(v.shape[1])[None] + lo
+        sums = np.concatenate([np.zeros((len(v), 1)), np.cumsum(v, axis=1)], 1)
+        high = np.minimum(k + r, n - 1)
+        low = np.where(k > r, k - r - 1, np.where(k > 0, 0, -1))
+        # Sums start at the run's own first cell; cells of the halo whose window lies beyond it are not used.
+        at = lambda i: np.take_along_axis(sums, np.clip(i + 1 - lo, 0, sums.shape[1] - 1), 1)
+        mean = np.where(r == 0, v, (at(high) - at(low)) / np.maximum(high - low, 1))
+        return {"v": mean, "level": level}
+
+    return blocks.lines(pixels, meta, axis, cap + 1, ["v", "level"], work, "z int, x int, y int, v double, level int")
 
 
 def smooth(cells: DataFrame, meta: GridMeta, patch: Patch = Patch(), scale: float = 2.0, cap: int | None = None) -> DataFrame:
@@ -166,19 +166,30 @@ def project(camera: Camera, px: Column, py: Column, pz: Column, width: Column, h
 
 
 def raycast(cells: DataFrame, meta: GridMeta, camera: Camera, how: str = "max", jitter: float = 0.0, seed: int = 0, scale: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """row, col, v: leaf centres on an image per level, reduced, spread to full size, reduced again."""
+    """row, col, v: one view of sweep()."""
+    return sweep(cells, meta, [camera], how, jitter, seed, scale).drop("view")
+
+
+def sweep(cells: DataFrame, meta: GridMeta, cameras: list[Camera], how: str = "max", jitter: float = 0.0, seed: int = 0, scale: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """view, row, col, v: for each camera leaf centres on an image per level, reduced, spread to full size, reduced again.
+
+    The cells are read once for all views.  The jitter of a centre follows from
+    the cell and the seed, not from where the row lies."""
     s = level_size(meta).cast("double")
-    shift = lambda i: (F.rand(seed + i) - 0.5) * jitter if jitter else F.lit(0.0)
-    pz, px, py = ((F.col(a) + 0.5 + shift(i)) * s * scale[i] for i, a in enumerate(KEY))
-    width, height = F.ceil(F.lit(camera.width) / s), F.ceil(F.lit(camera.height) / s)
-    row, col = project(camera, px, py, pz, width, height)
+    shift = lambda i: (F.expr(noise(seed + i)) - 0.5) * jitter if jitter else F.lit(0.0)
+    at = cells.select("level", F.col("v").cast("double").alias("v"), s.alias("s"), *[((F.col(a) + 0.5 + shift(i)) * s * scale[i]).alias(f"p{a}") for i, a in enumerate(KEY)])
+    seen_by = []
+    for i, c in enumerate(cameras):
+        width, height = F.ceil(F.lit(c.width) / F.col("s")), F.ceil(F.lit(c.height) / F.col("s"))
+        row, col = project(c, F.col("px"), F.col("py"), F.col("pz"), width, height)
+        seen_by.append(F.struct(F.lit(i).alias("view"), row.alias("row"), col.alias("col"), width.alias("w"), height.alias("h"), F.lit(c.width).alias("wide"), F.lit(c.height).alias("high")))
     agg = {"max": F.max, "min": F.min, "sum": F.sum}[how]
-    seen = cells.select("level", row.alias("row"), col.alias("col"), F.col("v").cast("double").alias("v"), width.alias("w"), height.alias("h"), s.cast("int").alias("s"))
-    seen = seen.where("row > 0 and col > 0 and row < h and col < w").groupBy("level", "row", "col", "s").agg(agg("v").alias("v"))
+    seen = at.select("level", "v", F.col("s").cast("int").alias("s"), F.explode(F.array(*seen_by)).alias("o")).select("level", "v", "s", "o.*")
+    seen = seen.where("row > 0 and col > 0 and row < h and col < w").groupBy("view", "level", "row", "col", "s", "wide", "high").agg(agg("v").alias("v"))
     seen = seen.where((F.col("level") == meta.l_max) | (F.col("v") > 0))
-    for c, n in (("row", camera.height), ("col", camera.width)):
-        seen = seen.withColumn(c, F.explode(F.sequence(F.col(c) * F.col("s"), F.least((F.col(c) + 1) * F.col("s"), F.lit(n)) - 1)))
-    return seen.groupBy("row", "col").agg(agg("v").alias("v"))
+    for c, n in (("row", "high"), ("col", "wide")):
+        seen = seen.withColumn(c, F.explode(F.sequence(F.col(c) * F.col("s"), F.least((F.col(c) + 1) * F.col("s"), F.col(n)) - 1)))
+    return seen.groupBy("view", "row", "col").agg(agg("v").alias("v"))
 
 
 def raycast_patch(cells: DataFrame, meta: GridMeta, camera: Camera, patch: Patch, how: str = "max") -> DataFrame:

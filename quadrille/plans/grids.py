@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quadrille.plans.meta import GridMeta
 
-G3, G2, G1 = GridMeta(64, 64, 16), GridMeta(30, 24, 1), GridMeta(101, 1, 1)
+G3, G2, G1 = GridMeta(64, 64, 16), GridMeta(31, 24, 1), GridMeta(101, 1, 1)
 
 
 def cells(spark: SparkSession, meta: GridMeta) -> DataFrame:
@@ -27,8 +27,10 @@ def cells(spark: SparkSession, meta: GridMeta) -> DataFrame:
 
 
 def densify(values: DataFrame, meta: GridMeta, column: str = "v", missing=0) -> DataFrame:
-    """values (z, x, y, column) with every key of the grid; missing cells hold `missing`."""
+    """values (z, x, y, column) with every key of the grid; missing cells hold `missing`.  A key outside the grid raises."""
     kind = values.schema[column].dataType
+    outside = " or ".join(f"{a} < 0 or {a} >= {meta.size[a]}" for a in ("z", "x", "y"))
+    values = values.withColumn("z", F.expr(f"if({outside}, raise_error('a key lies outside the grid'), z)"))
     full = cells(values.sparkSession, meta).join(values.select("z", "x", "y", column), ["z", "x", "y"], "left")
     return full.withColumn(column, F.coalesce(F.col(column), F.lit(missing).cast(kind)))
 
@@ -43,14 +45,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G3: quantities of order lines by part, supplier and order."""
+def volume(spark: SparkSession, sf_dir: str, meta: GridMeta = G3) -> DataFrame:
+    """Quantities of order lines by part, supplier and order, on a geometry of any size."""
     t = read(spark, sf_dir, "lineitem")
-    return rasterise(t, G3, F.col("l_orderkey") % 16, F.col("l_suppkey") % 64, F.col("l_partkey") % 64, F.sum(F.col("l_quantity").cast("long")))
+    return rasterise(t, meta, F.col("l_orderkey") % meta.nz, F.col("l_suppkey") % meta.nx, F.col("l_partkey") % meta.ny, F.sum(F.col("l_quantity").cast("long")))
 
 
 def image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G2: events by hour and day."""
+    """G2: events by hour and day of the month."""
     t = read(spark, sf_dir, "events")
     return rasterise(t, G2, F.lit(0), F.hour("ts"), F.dayofmonth("ts") - 1, F.count("*"))
 

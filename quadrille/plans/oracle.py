@@ -17,14 +17,21 @@ class Sql:
 
     def __init__(self):
         self.parts: list[tuple[str, str]] = []
+        self.own: set[str] = set()
 
     def add(self, name: str, body: str) -> str:
         if name not in dict(self.parts):
             self.parts.append((name, body))
         return name
 
+    def recursive(self, name: str, body: str) -> str:
+        """A step that names itself."""
+        self.own.add(name)
+        return self.add(name, body)
+
     def text(self, final: str) -> str:
-        return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({b})" for n, b in self.parts) + "\n" + final
+        steps = ",\n".join(f"{n} AS ({b})" if n in self.own else f"{n} AS MATERIALIZED ({b})" for n, b in self.parts)
+        return f"WITH {'RECURSIVE ' if self.own else ''}{steps}\n{final}"
 
 
 def _axes(meta: GridMeta, names: str = "zxy") -> str:

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.functions.keys import CELL, KEY
+from quadrille.functions.keys import CELL, FACTORS, KEY, PRIME
 from quadrille.operators import compress, convert, dense, denoise, filters, particles, reconstruct, timeseries
 from quadrille.plans import grids
+from quadrille.plans import numerics as num
 from quadrille.plans import oracle as o
 from quadrille.plans.grids import G1, G2, G3
 from quadrille.plans.meta import AXES, GridMeta
@@ -19,7 +20,7 @@ ORACLES: dict[str, str] = {}
 K, C = o.K, o.C
 
 P3 = convert.Parameters(rel_error=1.0, grad_th=80.0, constant_scale=True)
-P2 = convert.Parameters(rel_error=4.0, grad_th=1.5, constant_scale=True)
+P2 = convert.Parameters(rel_error=1.0, grad_th=1.5, constant_scale=True)
 P1 = convert.Parameters(rel_error=8.0, grad_th=0.0, constant_scale=True)
 CASES = {"g3": (grids.volume, G3, P3), "g2": (grids.image, G2, P2), "g1": (grids.line, G1, P1)}
 
@@ -136,7 +137,7 @@ def _s_erode(q):
 
 
 query("r035_erode", _s_erode)(lambda s, d: dense.erode(grids.labels(s, d), G2))
-query("r036_fill_holes_by_tree")(lambda s, d: rounded(dense.fill_holes_by_tree(grids.labels(s, d), G2)))
+query("r036_fill_holes_by_tree", lambda q: f"SELECT {K}, {r6()} FROM {num.fill_holes_by_tree(q, o.grid(q, 'lab'), G2)}")(lambda s, d: rounded(dense.fill_holes_by_tree(grids.labels(s, d), G2)))
 
 
 def _s_fill(q):
@@ -191,7 +192,7 @@ def _s_inverse(q):
 
 query("r048_inverse_spline", lambda q: f"SELECT {K}, {r6()} FROM {_s_inverse(q)}")(lambda s, d: rounded(convert.inverse_spline(grids.image(s, d), G2)))
 query("r046_spline_offset", lambda q: f"SELECT CAST(least(greatest(-(min(v) + max(v)) / 2.0, -100), 100) AS DOUBLE) AS o FROM {o.grid(q, 'g2')}")(lambda s, d: s.createDataFrame([(convert.spline_offset(grids.image(s, d), 1.0),)], "o double"))
-query("r047_smoothing_spline")(lambda s, d: rounded(convert.smooth_spline(grids.image(s, d), G2, 2.0)))
+query("r047_smoothing_spline", lambda q: f"SELECT {K}, {r6()} FROM {num.spline(q, o.grid(q, 'g2'), G2, *convert.spline_coefficients(2.0))}")(lambda s, d: rounded(convert.smooth_spline(grids.image(s, d), G2, 2.0)))
 query("r049_gradient_magnitude_half", lambda q: f"SELECT {K}, {r6()} FROM {o.gradient_half(q, o.grid(q, 'g3'), G3, 'gh')}")(lambda s, d: rounded(convert.gradient_magnitude_half(grids.volume(s, d), G3)))
 
 
@@ -235,7 +236,14 @@ query(
     "r057_apply_parameters",
     lambda q: f"SELECT g.z, g.x, g.y, round(CASE WHEN g.v < 2 THEN 0.0 ELSE g.v END, 6) AS grad, round(CASE WHEN m.v < 12 THEN CASE WHEN m.v < 6 THEN 60000.0 ELSE 12.0 END ELSE m.v END, 6) AS scale FROM {o.gradient_half(q, o.grid(q, 'g2'), G2, 'gr')} g JOIN {o.half(q, o.grid(q, 'g2'), G2, 'mean', 'im')} m ON m.z = g.z AND m.x = g.x AND m.y = g.y",
 )(lambda s, d: rounded(convert.apply_parameters(_fields2(s, d), convert.Parameters(grad_th=2.0, sigma_th=12.0, sigma_th_max=6.0)), "grad", "scale"))
-query("r058_auto_parameters")(lambda s, d: _auto(s, d))
+def _s_auto(q):
+    g, i = o.gradient_half(q, o.grid(q, "g2"), G2, "gr"), o.half(q, o.grid(q, "g2"), G2, "mean", "im")
+    q.add("fo", f"SELECT g.v AS grad, i.v AS scale FROM {g} g JOIN {i} i ON i.z = g.z AND i.x = g.x AND i.y = g.y WHERE i.v > 1.0")
+    a, b = (num.threshold_li(q, "fo", c, False, convert.BINS, f"li_{c}") for c in ("grad", "scale"))
+    return f"SELECT round({a}, 4) AS grad_th, round({b}, 4) AS sigma_th"
+
+
+query("r058_auto_parameters", _s_auto)(lambda s, d: _auto(s, d))
 
 
 def _auto(s, d):
@@ -243,7 +251,7 @@ def _auto(s, d):
     return s.createDataFrame([(round(p.grad_th, 4), round(p.sigma_th, 4))], "grad_th double, sigma_th double")
 
 
-query("r059_threshold_li")(lambda s, d: s.createDataFrame([(round(convert.threshold_li(grids.volume(s, d), integer=True), 4),)], "t double"))
+query("r059_threshold_li", lambda q: f"SELECT round({num.threshold_li(q, o.grid(q, 'g3'), 'v', True, convert.BINS, 'li')}, 4) AS t")(lambda s, d: s.createDataFrame([(round(convert.threshold_li(grids.volume(s, d), integer=True), 4),)], "t double"))
 
 
 def _req(s, d, which):
@@ -329,7 +337,7 @@ def _points(s, d):
 
 query(
     "r079_locate",
-    lambda q: f"SELECT c_custkey AS id, {', '.join(f'l.{a}' for a in ('level', *AXES))} FROM customer JOIN {s_leaf(q, 'g2')} l ON c_nationkey >= l.x * (1 << (5 - l.level)) AND c_nationkey < (l.x + 1) * (1 << (5 - l.level)) AND c_custkey % 33 >= l.y * (1 << (5 - l.level)) AND c_custkey % 33 < (l.y + 1) * (1 << (5 - l.level)) WHERE c_nationkey < 24 AND c_custkey % 33 < 30",
+    lambda q: f"SELECT c_custkey AS id, {', '.join(f'l.{a}' for a in ('level', *AXES))} FROM customer JOIN {s_leaf(q, 'g2')} l ON c_nationkey >= l.x * (1 << (5 - l.level)) AND c_nationkey < (l.x + 1) * (1 << (5 - l.level)) AND c_custkey % 33 >= l.y * (1 << (5 - l.level)) AND c_custkey % 33 < (l.y + 1) * (1 << (5 - l.level)) WHERE c_nationkey < 24 AND c_custkey % 33 < {G2.ny}",
 )(lambda s, d: particles.locate(_points(s, d), leaf(s, d, "g2")[1], G2).select("id", *CELL))
 
 
@@ -388,7 +396,7 @@ query("r087d_map_level", lambda q: f"SELECT {C}, CASE WHEN level = 4 THEN v * 2
 query("r087e_zip", lambda q: f"SELECT a.level, a.z, a.x, a.y, a.v - b.v AS v FROM {s_cell(q, 'g2')} a JOIN {o.sampled(q, s_leaf(q, 'g2'), o.grid(q, 'g2'), G2, 'max', 'mx')} b ON a.level = b.level AND a.z = b.z AND a.x = b.x AND a.y = b.y")(
     lambda s, d: particles.zip_cells(cell(s, d, "g2")[0], cell(s, d, "g2", "max")[0], lambda a, b: a - b)
 )
-query("r087f_level_copy", lambda q: f"SELECT {C}, v FROM {s_cell(q, 'g2')} WHERE level = 3")(lambda s, d: cell(s, d, "g2")[0].where("level = 3").select(*CELL, "v"))
+query("r087f_level_copy", lambda q: f"SELECT {C}, v FROM {s_cell(q, 'g2')} WHERE level = 4")(lambda s, d: cell(s, d, "g2")[0].where("level = 4").select(*CELL, "v"))
 query("r087g_nested_rows", lambda q: f"SELECT level, z, x, list(y ORDER BY y) AS y, list(CAST(v AS DOUBLE) ORDER BY y) AS v FROM {s_cell(q, 'g2')} GROUP BY level, z, x")(lambda s, d: particles.rows_as_arrays(cell(s, d, "g2")[0].withColumn("v", F.col("v").cast("double"))))
 
 
@@ -474,9 +482,23 @@ query("r099_generic_range", lambda q: f"SELECT {C}, round(max(nv) - min(nv), 6)
 query("r100_median", lambda q: f"SELECT {C}, round(list_sort(list(nv))[count(*) // 2 + 1], 6) AS v FROM {s_patch(q, None)} GROUP BY {C}")(lambda s, d: rounded(filters.median_filter(*kept(s, d, "g2"), _BOX)))
 query("r101_min_filter", lambda q: f"SELECT {C}, {r6('v')} FROM (SELECT {C}, min(nv) AS v FROM {s_patch(q, 'min')} GROUP BY {C})")(lambda s, d: rounded(filters.min_filter(*kept(s, d, "g2"), _BOX)))
 query("r101_max_filter", lambda q: f"SELECT {C}, {r6('v')} FROM (SELECT {C}, max(nv) AS v FROM {s_patch(q, 'max')} GROUP BY {C})")(lambda s, d: rounded(filters.max_filter(*kept(s, d, "g2"), _BOX)))
-query("r102_downsampled_stencils")(lambda s, d: rounded(filters.stencil_table(s, filters.downsampled_kernels(_G5, G2), G2), "w"))
-query("r103_rescaled_stencils")(lambda s, d: rounded(filters.stencil_table(s, filters.rescaled_kernels(filters.difference("y"), G2), G2), "w"))
-query("r104_kernels")(lambda s, d: rounded(s.createDataFrame([(n, *r) for n, k in (("gauss", filters.gaussian(1.0, 3)), ("mean", filters.mean_kernel(3)), ("sobel", filters.sobel("y")), ("sobel2", filters.sobel("x", 1.0, ("x", "y")))) for r in filters.rows_of(k)], "name string, oz int, ox int, oy int, w double"), "w"))
+_W = "CAST(oz AS INTEGER) AS oz, CAST(ox AS INTEGER) AS ox, CAST(oy AS INTEGER) AS oy, round(CAST(w AS DOUBLE), 6) AS w"
+_SIZE5 = {"z": 1, "x": 5, "y": 5}
+query("r102_downsampled_stencils", lambda q: f"SELECT CAST(level AS INTEGER) AS level, {_W} FROM {num.downsampled(q, num.gaussian(_SIZE5, 1.0, 'ga', q), _SIZE5, G2, 'ds')}")(lambda s, d: rounded(filters.stencil_table(s, filters.downsampled_kernels(_G5, G2), G2), "w"))
+query("r103_rescaled_stencils", f"SELECT CAST(level AS INTEGER) AS level, CAST(0 AS INTEGER) AS oz, CAST(0 AS INTEGER) AS ox, CAST(o AS INTEGER) AS oy, round(o / 2.0 / (1 << least({G2.l_max} - level, {G2.l_max - 2})), 6) AS w FROM (SELECT unnest(range(1, {G2.l_max + 1})) AS level) CROSS JOIN (VALUES (-1), (0), (1)) t(o)")(lambda s, d: rounded(filters.stencil_table(s, filters.rescaled_kernels(filters.difference("y"), G2), G2), "w"))
+_TRIPLE = "(VALUES (-1), (0), (1)) z(oz) CROSS JOIN (VALUES (-1), (0), (1)) x(ox) CROSS JOIN (VALUES (-1), (0), (1)) y(oy)"
+_SMOOTHING = lambda a: f"CASE o{a} WHEN 0 THEN 0.5 ELSE 0.25 END"
+
+
+def _s_kernels(q):
+    num.gaussian({"z": 3, "x": 3, "y": 3}, 1.0, "ga", q)
+    parts = [f"SELECT 'gauss' AS name, {_W} FROM ga", f"SELECT 'mean', {_W.replace('CAST(w AS DOUBLE)', '1.0 / 27')} FROM {_TRIPLE}"]
+    parts.append(f"SELECT 'sobel', {_W.replace('CAST(w AS DOUBLE)', f'oy / 2.0 * {_SMOOTHING("x")} * {_SMOOTHING("z")}')} FROM {_TRIPLE}")
+    parts.append(f"SELECT 'sobel2', {_W.replace('CAST(w AS DOUBLE)', f'ox / 2.0 * {_SMOOTHING("y")}')} FROM {_TRIPLE} WHERE oz = 0")
+    return " UNION ALL ".join(parts)
+
+
+query("r104_kernels", _s_kernels)(lambda s, d: rounded(s.createDataFrame([(n, *r) for n, k in (("gauss", filters.gaussian(1.0, 3)), ("mean", filters.mean_kernel(3)), ("sobel", filters.sobel("y")), ("sobel2", filters.sobel("x", 1.0, ("x", "y")))) for r in filters.rows_of(k)], "name string, oz int, ox int, oy int, w double"), "w"))
 
 
 def _s_face(q, axis="y", taps=(0.25, 0.5, 0.25)):
@@ -487,7 +509,13 @@ def _s_face(q, axis="y", taps=(0.25, 0.5, 0.25)):
 
 
 query("r105_face_filter", _s_face)(lambda s, d: rounded(particles.face_filter(*kept(s, d, "g2"), (0.25, 0.5, 0.25), "y")))
-query("r106_separable_face_filter")(lambda s, d: rounded(particles.separable_face_filter(*kept(s, d, "g2"), (0.25, 0.5, 0.25), settle=_settle(s))))
+def _s_faces(q):
+    c = s_cell(q, "g2")
+    near = _s_neigh(q, c, G2)
+    return num.face_pass(q, num.face_pass(q, c, near, "y", "fy"), near, "x", "fx")
+
+
+query("r106_separable_face_filter", lambda q: f"SELECT {C}, {r6()} FROM {_s_faces(q)}")(lambda s, d: rounded(particles.separable_face_filter(*kept(s, d, "g2"), (0.25, 0.5, 0.25), settle=_settle(s))))
 
 
 def _s_tree_face(q, axis="x", taps=(0.25, 0.5, 0.25)):
@@ -528,10 +556,11 @@ query("r111_local_std", _s_std)(lambda s, d: filters.local_std(*kept(s, d, "g2")
 
 
 for _how in ("min", "max"):
-    query(f"r112_adaptive_{_how}")(lambda s, d, h=_how: rounded(filters.adaptive_extreme(*kept(s, d, "g2"), h, 1, 2, 1, _settle(s))))
-query("r113_richardson_lucy")(lambda s, d: rounded(filters.richardson_lucy(*kept(s, d, "g2"), filters.gaussian(1.0, {"z": 1, "x": 3, "y": 3}), 2, settle=_settle(s))))
-query("r114_richardson_lucy_tv")(lambda s, d: rounded(filters.richardson_lucy(*kept(s, d, "g2"), filters.gaussian(1.0, {"z": 1, "x": 3, "y": 3}), 1, tv=0.01, settle=_settle(s))))
-query("r115_div_norm_grad")(lambda s, d: rounded(filters.div_norm_grad(*kept(s, d, "g2"), settle=_settle(s))))
+    query(f"r112_adaptive_{_how}", lambda q, h=_how: f"SELECT {C}, {r6()} FROM {num.adaptive_extreme(q, s_cell(q, 'g2'), _s_neigh(q, s_cell(q, 'g2'), G2), h, G2, 2)}")(lambda s, d, h=_how: rounded(filters.adaptive_extreme(*kept(s, d, "g2"), h, 1, 2, 1, _settle(s))))
+_PSF = filters.gaussian(1.0, {"z": 1, "x": 3, "y": 3})
+query("r113_richardson_lucy", lambda q: f"SELECT {C}, {r6()} FROM {num.richardson_lucy(q, s_cell(q, 'g2'), _PSF, G2, 2)}")(lambda s, d: rounded(filters.richardson_lucy(*kept(s, d, "g2"), filters.gaussian(1.0, {"z": 1, "x": 3, "y": 3}), 2, settle=_settle(s))))
+query("r114_richardson_lucy_tv", lambda q: f"SELECT {C}, {r6()} FROM {num.richardson_lucy(q, s_cell(q, 'g2'), _PSF, G2, 2, 0.01)}")(lambda s, d: rounded(filters.richardson_lucy(*kept(s, d, "g2"), _PSF, 2, tv=0.01, settle=_settle(s))))
+query("r115_div_norm_grad", lambda q: f"SELECT {C}, {r6()} FROM {num.div_norm_grad(q, s_cell(q, 'g2'), G2, 'dng')}")(lambda s, d: rounded(filters.div_norm_grad(*kept(s, d, "g2"), settle=_settle(s))))
 
 
 # --- reconstruction -------------------------------------------------------------------
@@ -568,7 +597,7 @@ def _s_smooth(q, scale=2.0, cap=20):
 
 
 query("r119_smooth", _s_smooth)(lambda s, d: rounded(reconstruct.smooth(*kept(s, d, "g2"))))
-query("r121_interpolated")(lambda s, d: rounded(reconstruct.interpolated(*kept(s, d, "g2"))))
+query("r121_interpolated", lambda q: f"SELECT {K}, {r6()} FROM {num.interpolated(q, s_cell(q, 'g2'), G2)}")(lambda s, d: rounded(reconstruct.interpolated(*kept(s, d, "g2"))))
 
 _CAM = reconstruct.Camera(radius=60.0, theta=0.4, origin=(32.0, 32.0, 8.0), target=(32.0, 32.0, 8.0))
 query("r123_raycast")(lambda s, d: rounded(reconstruct.raycast(*cell(s, d, "g3"), _CAM)))
@@ -598,21 +627,39 @@ query("r132_lossy_round_trip", _s_lossy)(lambda s, d: compress.decompress(compre
 
 def _denoise(s, d):
     c, meta = kept(s, d, "g2")
-    return denoise.apply(c, meta, denoise.train(c, meta, fine=1, coarse=1))
+    return denoise.apply(c, meta, denoise.train(c, meta, ridge=RIDGE))
 
 
-query("r135_denoise")(lambda s, d: _denoise(s, d).withColumn("v", F.round("v", 4)))
+#: Strong enough that few cells and many places give one answer to four digits on any engine.
+RIDGE = 1e-3
+
+
+def _s_trained(q):
+    """The kernels of the default half widths: 9 x 9 places at the finest level, 3 x 3 at the others."""
+    c, den, meta = s_dense(q, "g2")
+    sizes = {l: {a: 1 if n == 1 else 9 if l == meta.l_max else 3 for a, n in meta.size.items()} for l in range(meta.l_min, meta.l_max + 1)}
+    rows = [(l, p // (s["x"] * s["y"]) - s["z"] // 2, p // s["y"] % s["x"] - s["x"] // 2, p % s["y"] - s["y"] // 2, float(p)) for l, s in sizes.items() for p in range(s["z"] * s["x"] * s["y"])]
+    g = o.gathered(q, c, den, o.stencil(q, rows, "tst"), meta, True, "tg")
+    return num.trained(q, g, c, sizes, RIDGE, meta), c, den, meta
+
+
+def _s_denoised(q):
+    k, c, den, meta = _s_trained(q)
+    return o.convolved(q, c, den, k, meta, True, "dn")
+
+
+query("r135_denoise", lambda q: f"SELECT {C}, round(v, 4) AS v FROM {_s_denoised(q)}")(lambda s, d: _denoise(s, d).withColumn("v", F.round("v", 4)))
 
 
 def _two(s, d):
     a = kept(s, d, "g2")[0].select(*CELL, F.col("v").cast("double").alias("v"))
-    b = particles.sample(convert.convert(grids.image(s, d), G2, convert.Parameters(rel_error=2.0, grad_th=1.5, constant_scale=True)), grids.image(s, d), G2, "max").select(*CELL, F.col("v").cast("double").alias("v"))
+    b = particles.sample(convert.convert(grids.image(s, d), G2, convert.Parameters(rel_error=0.5, grad_th=1.5, constant_scale=True)), grids.image(s, d), G2, "max").select(*CELL, F.col("v").cast("double").alias("v"))
     return a, b
 
 
 def _s_two(q):
     a = s_cell(q, "g2")
-    req = o.required(q, o.grid(q, "g2"), G2, 2.0, 1.5, "rq2")
+    req = o.required(q, o.grid(q, "g2"), G2, 0.5, 1.5, "rq2")
     b = o.sampled(q, o.to_leaves(q, o.solve(q, req, G2, "sl2"), G2, name="lf2"), "g2", G2, "max", "cb")
     on = " AND ".join(f"a.{c} = b.{c}" for c in ("level", *AXES))
     return q.add("dl", f"SELECT coalesce(a.level, b.level) AS level, coalesce(a.z, b.z) AS z, coalesce(a.x, b.x) AS x, coalesce(a.y, b.y) AS y, CASE WHEN a.v IS NULL THEN 'add' WHEN b.v IS NULL THEN 'remove' WHEN abs(a.v - b.v) > 0 THEN 'update' END AS op, CAST(b.v AS DOUBLE) AS v FROM {a} a FULL JOIN {b} b ON {on}")
@@ -669,28 +716,36 @@ query("r002_tiff_scan", lambda q: f"SELECT {K}, CAST(v AS DOUBLE) AS v FROM {o.g
 query("r003_tiff_slices", lambda q: f"SELECT {K}, CAST(v AS DOUBLE) AS v FROM {o.grid(q, 'g3')} WHERE z >= 6 AND z < 9")(lambda s, d: _tiff(s, d).where("z >= 6 and z < 9"))
 
 
-def _store(s, d):
+def _store(s, d, which="g3", codec="zstd"):
     import uuid
 
     from quadrille.sources.storage import READ, READWRITE, CellStore
 
-    c, meta = kept(s, d, "g3")
+    c, meta = kept(s, d, which)
     path = f"{_root(s)}/store-{uuid.uuid4().hex}"
-    w = CellStore(s, path, READWRITE)
+    w = CellStore(s, path, READWRITE, codec)
     w.write_cells(c, meta, tree=True)
     w.append_cells(c.where("z < 8"), meta)
     w.write_property("mean", c.withColumn("v", F.col("v").cast("double")))
     w.write_property("lossy", c.withColumn("v", F.col("v").cast("double")), codec=compress.Codec())
-    return CellStore(s, path, READ)
+    return CellStore(s, path, READ, codec)
 
 
 query("r006_store_cells", lambda q: f"SELECT * FROM {s_leaf(q, 'g3')}")(lambda s, d: _store(s, d).read_cells())
 query("r007_store_append", lambda q: f"SELECT * FROM {s_leaf(q, 'g3')} WHERE z < 8")(lambda s, d: _store(s, d).read_cells(1))
 query("r009_store_tree", lambda q: f"SELECT * FROM {o.tree(q, s_leaf(q, 'g3'))}")(lambda s, d: _store(s, d).read_cells(tree=True))
 query("r010_store_property", lambda q: f"SELECT {C}, CAST(v AS DOUBLE) AS v FROM {s_cell(q, 'g3')}")(lambda s, d: _store(s, d).read_property("mean"))
-query("r013_catalogue", "SELECT CAST(2 AS INTEGER) AS steps, 't' AS channels, 'lossy,mean' AS properties, CAST(16 AS INTEGER) AS nz")(
-    lambda s, d: (lambda r: s.createDataFrame([(r.number_of_time_steps(), ",".join(r.channels()), ",".join(r.properties()), r.read_meta().nz)], "steps int, channels string, properties string, nz int"))(_store(s, d))
-)
+def _catalogue(s, d):
+    """What the store says about itself, a row for each time step: channel, properties, extents and number of cells."""
+    r = _store(s, d)
+    rows = [(t, c, ",".join(r.properties()), r.read_meta(t, c).nz, r.read_meta(t, c).nx, r.read_meta(t, c).ny, r.read_cells(t, c).count()) for c in r.channels() for t in range(r.number_of_time_steps(c))]
+    return s.createDataFrame(rows, "t int, channel string, properties string, nz int, nx int, ny int, cells long")
+
+
+query(
+    "r013_catalogue",
+    lambda q: "SELECT CAST(t AS INTEGER) AS t, 't' AS channel, 'lossy,mean' AS properties, " + ", ".join(f"(SELECT CAST(max({a}) + 1 AS INTEGER) FROM {o.grid(q, 'g3')}) AS n{a}" for a in AXES) + f", (SELECT count(*) FROM {s_leaf(q, 'g3')} WHERE t = 0 OR z < 8) AS cells FROM (VALUES (0), (1)) s(t)",
+)(_catalogue)
 query("r016_lazy_slice", lambda q: f"SELECT {C}, CAST(v AS DOUBLE) AS v FROM {s_cell(q, 'g3')} WHERE level = 5 AND z BETWEEN 2 AND 3")(lambda s, d: _store(s, d).scan("mean", 5, (2, 3)))
 query("r122_reconstruct_from_store", lambda q: f"SELECT {K}, CAST(v AS DOUBLE) AS v FROM {o.pixels(q, s_cell(q, 'g3'), G3)} WHERE z >= 2 AND z < 13 AND x >= 9 AND x < 40 AND y >= 11 AND y < 50")(lambda s, d: reconstruct.constant(_store(s, d).read_property("mean"), G3, _PATCH))
 
@@ -705,12 +760,12 @@ query("r069_two_phase", lambda q: f"SELECT * FROM {s_leaf(q, 'g2')}")(_two_phase
 query("r130_restore", lambda q: f"SELECT {C}, round(CASE WHEN 0.5 * {_VST} + 3.2 >= 3.2 THEN ((0.5 * {_VST} + 3.2) * (0.5 * {_VST} + 3.2) / 4 - 2.56) * 2.0 + 1.0 ELSE 1.0 END, 4) AS v FROM {s_cell(q, 'g2')}")(
     lambda s, d: cell(s, d, "g2")[0].select(*CELL, F.round(compress.restore(compress.stabilise(F.col("v").cast("double"), _CODEC), _CODEC), 4).alias("v"))
 )
-query("r133_train_denoise")(lambda s, d: _kernels(s, d))
+query("r133_train_denoise", lambda q: f"SELECT CAST(level AS INTEGER) AS level, CAST(oz AS INTEGER) AS oz, CAST(ox AS INTEGER) AS ox, CAST(oy AS INTEGER) AS oy, round(w, 4) AS w FROM {_s_trained(q)[0]}")(lambda s, d: _kernels(s, d))
 
 
 def _kernels(s, d):
     c, meta = kept(s, d, "g2")
-    k = denoise.train(c, meta, fine=1, coarse=1)
+    k = denoise.train(c, meta, ridge=RIDGE)
     return s.createDataFrame([(l, *r[:3], round(r[3], 4)) for l, a in k.items() for r in filters.rows_of(a)], "level int, oz int, ox int, oy int, w double")
 
 
@@ -721,24 +776,52 @@ def _s_mag3(q):
 
 
 query("r139_gradient_magnitude_volume", _s_mag3)(lambda s, d: rounded(filters.gradient_magnitude(*kept(s, d, "g3"))))
-query("r140_richardson_lucy_pixels")(lambda s, d: rounded(dense.richardson_lucy(grids.image(s, d), G2, _KERNEL, 2, _settle(s))))
+def _s_pixel_rl(q, iterations=2):
+    g = o.grid(q, "g2")
+    place = lambda sign: " CROSS JOIN (VALUES " + ", ".join(f"({sign * x}, {sign * y}, CAST({w!r} AS DOUBLE))" for _, x, y, w in _KERNEL) + ") s(ox, oy, w)"
+    est = q.add("e0", f"SELECT {K}, 1.0::DOUBLE AS v FROM {g}")
+    for i in range(iterations):
+        q.add(f"b{i}", f"SELECT a.z, a.x, a.y, sum(s.w * b.v) AS v FROM {est} a {place(-1)} JOIN {est} b ON b.x = a.x - s.ox AND b.y = a.y - s.oy GROUP BY 1, 2, 3")
+        q.add(f"r{i}", f"SELECT a.z, a.x, a.y, a.v / nullif(b.v, 0) AS v FROM {g} a JOIN b{i} b ON {num.GRID}")
+        q.add(f"s{i}", f"SELECT a.z, a.x, a.y, sum(s.w * b.v) AS v FROM {g} a {place(1)} JOIN r{i} b ON b.x = a.x - s.ox AND b.y = a.y - s.oy GROUP BY 1, 2, 3")
+        est = q.add(f"e{i + 1}", f"SELECT a.z, a.x, a.y, a.v * b.v AS v FROM {est} a JOIN s{i} b ON {num.GRID}")
+    return est
+
 
+query("r140_richardson_lucy_pixels", lambda q: f"SELECT {K}, {r6()} FROM {_s_pixel_rl(q)}")(lambda s, d: rounded(dense.richardson_lucy(grids.image(s, d), G2, _KERNEL, 2, _settle(s))))
 
-def _s_cast(q, rows, how="max"):
+
+def _s_noise(seed: int) -> str:
+    """The jitter's mix of a cell's key."""
+    at = " + ".join(f"CAST({c} + 1 AS BIGINT) * {f}" for c, f in FACTORS.items())
+    for _ in range(2):
+        at = f"(({at} + {(seed + 1) * 1000003}) % {PRIME})"
+        at = f"({at} * {at} % {PRIME} + {at})"
+    return f"({at} % {PRIME} / CAST({PRIME} AS DOUBLE))"
+
+
+def _s_cast(q, rows, how="max", jitter=0.0, seed=0, camera=None, name=""):
     """rows: level, z, x, y, v on the geometry of the volume."""
-    m = _CAM.matrix()
+    m = (camera or _CAM).matrix()
     size = "CAST(1 << (6 - level) AS DOUBLE)"
-    p = {a: f"({a} + CAST(0.5 AS DOUBLE)) * {size}" for a in AXES}
+    p = {a: f"({a} + CAST(0.5 AS DOUBLE) + " + (f"({_s_noise(seed + i)} - CAST(0.5 AS DOUBLE)) * CAST({jitter} AS DOUBLE)" if jitter else "CAST(0.0 AS DOUBLE)") + f") * {size}" for i, a in enumerate(AXES)}
     clip = [f"({float(m[i, 0])!r} * px + {float(m[i, 1])!r} * py + {float(m[i, 2])!r} * pz + {float(m[i, 3])!r})" for i in (0, 1, 3)]
     n = "ceil(64.0 / sz)"
-    q.add("pts", f"SELECT level, v, {size} AS sz, {p['z']} AS pz, {p['x']} AS px, {p['y']} AS py FROM {rows}")
-    q.add("img", f"SELECT level, CAST(v AS DOUBLE) AS v, CAST(sz AS INTEGER) AS sz, {n} AS n, CAST(round(-(({clip[1]} / {clip[2]} - 1) / 2 * {n})) AS INTEGER) AS r, CAST(round(-(({clip[0]} / {clip[2]} - 1) / 2 * {n})) AS INTEGER) AS c FROM pts")
-    q.add("red", f"SELECT level, sz, r, c, {how}(v) AS v FROM img WHERE r > 0 AND c > 0 AND r < n AND c < n GROUP BY ALL")
-    q.add("spr", "SELECT r, unnest(range(c * sz, least((c + 1) * sz, 64))) AS c, v FROM (SELECT unnest(range(r * sz, least((r + 1) * sz, 64))) AS r, c, sz, v FROM red WHERE level = 6 OR v > 0)")
-    return f'SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round({how}(v), 6) AS v FROM spr GROUP BY r, c'
+    q.add(f"pts{name}", f"SELECT level, v, {size} AS sz, {p['z']} AS pz, {p['x']} AS px, {p['y']} AS py FROM {rows}")
+    q.add(f"img{name}", f"SELECT level, CAST(v AS DOUBLE) AS v, CAST(sz AS INTEGER) AS sz, {n} AS n, CAST(round(-(({clip[1]} / {clip[2]} - 1) / 2 * {n})) AS INTEGER) AS r, CAST(round(-(({clip[0]} / {clip[2]} - 1) / 2 * {n})) AS INTEGER) AS c FROM pts{name}")
+    q.add(f"red{name}", f"SELECT level, sz, r, c, {how}(v) AS v FROM img{name} WHERE r > 0 AND c > 0 AND r < n AND c < n GROUP BY ALL")
+    q.add(f"spr{name}", f"SELECT r, unnest(range(c * sz, least((c + 1) * sz, 64))) AS c, v FROM (SELECT unnest(range(r * sz, least((r + 1) * sz, 64))) AS r, c, sz, v FROM red{name} WHERE level = 6 OR v > 0)")
+    return f'SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round({how}(v), 6) AS v FROM spr{name} GROUP BY r, c'
+
 
+def _s_touched(q):
+    """Cells at most one level short of the finest that touch the patch's box, [0, 8) x [0, 40) x [0, 40) in pixels."""
+    c, cap, end = s_cell(q, "g3"), G3.l_max - 1, {"z": 8, "x": 40, "y": 40}
+    touch = " AND ".join(f"{a} * (1 << ({G3.l_max} - level)) < {n} AND (({a} + 1) * (1 << ({G3.l_max} - level))) > 0" for a, n in end.items())
+    return q.add("tp", f"SELECT {C}, v FROM (SELECT {C}, CAST(v AS DOUBLE) AS v FROM {c} WHERE level <= {cap} UNION ALL SELECT {C}, v FROM {o.tree_mean(q, c, G3)} WHERE level = {cap}) WHERE {touch}")
 
-for _n, _f in (("r123_raycast", lambda q: _s_cast(q, s_cell(q, "g3"))), ("r125_raycast_pixels", lambda q: _s_cast(q, q.add("px6", f"SELECT 6 AS level, {K}, v FROM {o.grid(q, 'g3')}")))):
+
+for _n, _f in (("r123_raycast", lambda q: _s_cast(q, s_cell(q, "g3"))), ("r124_raycast_patch", lambda q: _s_cast(q, _s_touched(q))), ("r127_raycast_jitter", lambda q: _s_cast(q, s_cell(q, "g3"), jitter=0.5, seed=3)), ("r125_raycast_pixels", lambda q: _s_cast(q, q.add("px6", f"SELECT 6 AS level, {K}, v FROM {o.grid(q, 'g3')}")))):
     _q = o.Sql()
     ORACLES[_n] = _q.text(_f(_q))
 
@@ -757,3 +840,125 @@ def _s_projected():
 
 
 query("r126_project_points", _s_projected())(_projected)
+
+
+# --- more rows of the inventory ----------------------------------------------------------
+
+
+def _tiff_info(s, d):
+    from quadrille.sources import tiff
+
+    path = f"{_root(s)}/info-{__import__('uuid').uuid4().hex}"
+    tiff.save(grids.volume(s, d), G3, path, "float32", 4)
+    meta, kind = tiff.info(path)
+    return s.createDataFrame([(meta.nz, meta.nx, meta.ny, kind)], "nz int, nx int, ny int, kind string")
+
+
+query("r001_tiff_info", lambda q: "SELECT " + ", ".join(f"CAST(max({a}) + 1 AS INTEGER) AS n{a}" for a in AXES) + f", 'float32' AS kind FROM {o.grid(q, 'g3')}")(_tiff_info)
+
+
+def _modes(s, d):
+    """The same store opened for reading refuses to be written; opened for writing it starts empty."""
+    from quadrille.sources.storage import WRITE, CellStore
+
+    r = _store(s, d, "g2")
+    before = r.number_of_time_steps()
+    try:
+        r.write_property("mean", r.read_property("mean"))
+        refused = False
+    except PermissionError:
+        refused = True
+    return s.createDataFrame([(before, refused, CellStore(s, r.root, WRITE).number_of_time_steps())], "before int, refused boolean, after int")
+
+
+query("r005_store_modes", "SELECT CAST(2 AS INTEGER) AS before, true AS refused, CAST(0 AS INTEGER) AS after")(_modes)
+query("r010_store_lossy", lambda q: _s_lossy(q))(lambda s, d: _store(s, d, "g2").read_property("lossy", codec=compress.Codec()).withColumn("v", F.round("v", 4)))
+
+
+def _sizes(s, d):
+    """Codecs keep the values; their sizes differ."""
+    rows, size = None, {}
+    for codec in ("zstd", "gzip", "uncompressed"):
+        r = _store(s, d, "g3", codec)
+        size[codec] = r.size_mb()
+        part = r.read_property("mean").groupBy("level").agg(F.count("*").alias("n"), F.sum("v").alias("total")).withColumn("codec", F.lit(codec))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.withColumn("smaller", F.lit(0 < size["zstd"] < size["uncompressed"]))
+
+
+query("r015_codecs", lambda q: f"SELECT level, count(*) AS n, CAST(sum(v) AS DOUBLE) AS total, codec, true AS smaller FROM {s_cell(q, 'g3')} CROSS JOIN (VALUES ('zstd'), ('gzip'), ('uncompressed')) c(codec) GROUP BY level, codec")(_sizes)
+
+
+def _sliced(s, d):
+    from quadrille.sources.storage import READWRITE, CellStore
+
+    r = CellStore(s, _store(s, d).root, READWRITE)
+    new = r.scan("mean", 5, (2, 3)).select(*KEY, (F.col("v") + 1000).alias("v"))
+    r.write_slice("mean", new, 5)
+    return r.scan("mean", 5)
+
+
+query("r016_write_slice", lambda q: f"SELECT {C}, CAST(v AS DOUBLE) + CASE WHEN z BETWEEN 2 AND 3 THEN 1000 ELSE 0 END AS v FROM {s_cell(q, 'g3')} WHERE level = 5")(_sliced)
+query(
+    "r017_row_ranges",
+    lambda q: f'SELECT z, x, n, CAST(sum(n) OVER (ORDER BY z, x) - n AS BIGINT) AS "begin", CAST(sum(n) OVER (ORDER BY z, x) AS BIGINT) AS "stop" FROM (SELECT z, x, count(*) AS n FROM {s_leaf(q, "g3")} WHERE level = 5 GROUP BY z, x)',
+)(lambda s, d: _store(s, d).row_ranges(5))
+query("r017_lazy_row", lambda q: f"SELECT {C}, CAST(v AS DOUBLE) AS v FROM {s_cell(q, 'g3')} WHERE level = 5 AND z = 2 AND x BETWEEN 3 AND 4")(lambda s, d: (lambda r: r.scan("mean", 5, (2, 2), 3).unionByName(r.scan("mean", 5, (2, 2), 4)))(_store(s, d)))
+
+
+def _imaged(s, d):
+    from quadrille.sources.storage import READWRITE, CellStore
+
+    w = CellStore(s, f"{_root(s)}/image-{__import__('uuid').uuid4().hex}", READWRITE)
+    w.write_image("volume", grids.volume(s, d), 4)
+    return w.read_image("volume", (3, 9), 4)
+
+
+query("r021_image_store", lambda q: f"SELECT * FROM {o.grid(q, 'g3')} WHERE z BETWEEN 3 AND 9")(_imaged)
+query("r033_smooth_stencils", f"SELECT CAST(level AS INTEGER) AS level, {_W.replace('CAST(w AS DOUBLE)', '1.0 / 27')} FROM {_TRIPLE} CROSS JOIN (SELECT unnest(range(1, {G3.l_max + 1})) AS level)")(lambda s, d: rounded(filters.stencil_table(s, [filters.mean_kernel(3)] * 2, G3), "w"))
+query("r045_check", lambda q: f"SELECT count(*) AS cells FROM {o.grid(q, 'g3')}")(lambda s, d: s.createDataFrame([(convert.check(G3, grids.volume(s, d)),)], "cells long"))
+query("r064_solve_sparse", lambda q: f"SELECT CAST(level AS INTEGER) AS level, {K}, type FROM {o.solve(q, _s_req(q, 'g2'), G2)}")(lambda s, d: convert.solve_sparse(_req(s, d, "g2")[0].where("v > 0"), G2))
+# Tiles of a few cells, so that ghosts and the scheme over all tiles matter.
+query("r070_tiled_conversion", lambda q: f"SELECT * FROM {s_leaf(q, 'g3')}")(lambda s, d: convert.convert(grids.volume(s, d), G3, P3, _settle(s), 16))
+query("r071_tiles_into_one_scheme", lambda q: f"SELECT {K}, round(v * {convert.windows(G2.half(), 1.0)[2]} / {convert.windows(G2.half(), 1.0)[2]}, 6) AS scale FROM ({_s_scale(q)})")(
+    lambda s, d: rounded(convert.tiled_fields(grids.image(s, d), G2, convert.Parameters(), 8), "scale").select(*KEY, "scale")
+)
+query("r087a_sample_tiled", lambda q: f"SELECT {C}, CAST(v AS DOUBLE) AS v FROM {s_cell(q, 'g3')}")(lambda s, d: (lambda g, l, m: particles.sample(l, g, m, "mean", 4))(*leaf(s, d, "g3")).select(*CELL, "v"))
+query("r073_from_runs", lambda q: f"SELECT * FROM {s_leaf(q, 'g2')}")(lambda s, d: particles.from_runs(particles.random_access(leaf(s, d, "g2")[1])).select(*CELL))
+query("r073_linear_from_runs", lambda q: f"SELECT level, z, x, list(y ORDER BY y) AS y, CAST(sum(count(*)) OVER (ORDER BY level, z, x) AS BIGINT) AS row_end FROM {s_leaf(q, 'g2')} GROUP BY level, z, x")(lambda s, d: particles.linear_access(particles.from_runs(particles.random_access(leaf(s, d, "g2")[1]))))
+query("r084_find_tree_cells", lambda q: f"SELECT * FROM {o.tree(q, s_leaf(q, 'g2'))} WHERE level = 3 AND x % 2 = 0")(
+    lambda s, d: particles.find_cells(grids.cells(s, G2.at(3)).where("x % 2 = 0").select(F.lit(3).alias("level"), *KEY), particles.tree(leaf(s, d, "g2")[1]))
+)
+query("r089_tree_any", lambda q: f"SELECT {C}, v FROM {o.tree_fold(q, q.add('whole', f'SELECT {C}, CAST(floor(v) AS BIGINT) AS v FROM {s_cell(q, 'g2')}'), 'bit_xor', 'tf')}")(lambda s, d: particles.fold_tree(cell(s, d, "g2")[0].withColumn("v", F.floor("v")), F.bit_xor))
+query("r118_level_patch", lambda q: f"SELECT {K}, level AS v FROM {o.pixels(q, s_cell(q, 'g3'), G3)} WHERE z >= 2 AND z < 13 AND x >= 9 AND x < 40 AND y >= 11 AND y < 50")(lambda s, d: reconstruct.levels(*cell(s, d, "g3"), _PATCH))
+query("r122_lazy_level", lambda q: f"SELECT {K}, level AS v FROM {o.pixels(q, s_cell(q, 'g3'), G3)} WHERE z >= 2 AND z < 13 AND x >= 9 AND x < 40 AND y >= 11 AND y < 50")(lambda s, d: reconstruct.levels(_store(s, d).read_cells(), G3, _PATCH))
+query("r122_lazy_smooth", lambda q: _s_smooth(q, cap=10))(lambda s, d: rounded(reconstruct.smooth(_store(s, d, "g2").read_property("mean"), G2, cap=10)))
+_SWEEP = [reconstruct.Camera(radius=60.0, theta=t, origin=(32.0, 32.0, 8.0), target=(32.0, 32.0, 8.0)) for t in (0.0, 0.4, 1.1, 2.5)]
+
+
+def _s_sweep(q):
+    rows, parts = s_cell(q, "g3"), []
+    for i, c in enumerate(_SWEEP):
+        parts.append(f"SELECT CAST({i} AS INTEGER) AS view, * FROM ({_s_cast(q, rows, camera=c, name=f'w{i}')})")
+    return " UNION ALL ".join(parts)
+
+
+query("r123_raycast_sweep", _s_sweep)(lambda s, d: rounded(reconstruct.sweep(*cell(s, d, "g3"), _SWEEP)))
+query("r136_sample_cells", lambda q: f"SELECT * FROM {s_leaf(q, 'g3')} WHERE {_s_noise(5)} < 0.25")(lambda s, d: particles.sampled(leaf(s, d, "g3")[1], 0.25, 5))
+
+
+def _s_transfer(q):
+    """Values of the first structure at the cells of the second."""
+    _s_two(q)
+    a, b = s_cell(q, "g2"), "cb"
+    up = " AND ".join(f"a.{c} = (b.{c} >> (b.level - a.level))" for c in AXES)
+    down = " AND ".join(f"b.{c} = (a.{c} >> (a.level - b.level))" for c in AXES)
+    q.add("tu", f"SELECT b.level, b.z, b.x, b.y, max_by(CAST(a.v AS DOUBLE), a.level) AS v FROM {b} b JOIN {a} a ON a.level <= b.level AND {up} GROUP BY 1, 2, 3, 4")
+    q.add("td", f"SELECT b.level, b.z, b.x, b.y, avg(CAST(a.v AS DOUBLE)) AS v FROM {b} b JOIN {a} a ON a.level > b.level AND {down} GROUP BY 1, 2, 3, 4")
+    return f"SELECT {C}, {r6()} FROM (SELECT * FROM tu UNION ALL SELECT * FROM td WHERE NOT EXISTS (SELECT 1 FROM tu WHERE {' AND '.join(f'tu.{c} = td.{c}' for c in ('level', *AXES))}))"
+
+
+query("t013_transfer", _s_transfer)(lambda s, d: (lambda a, b: rounded(timeseries.transfer(a, b, G2.l_max)))(*_two(s, d)))
+query("t013_latest", lambda q: (_s_two(q), f"SELECT {C}, CAST(coalesce(b.v, a.v) AS DOUBLE) AS v, CAST(CASE WHEN b.v IS NULL THEN 0 ELSE 1 END AS INTEGER) AS t FROM {s_cell(q, 'g2')} a FULL JOIN cb b USING ({C})")[1])(
+    lambda s, d: (lambda a, b: timeseries.latest(a.withColumn("t", F.lit(0)).unionByName(b.withColumn("t", F.lit(1)))))(*_two(s, d))
+)

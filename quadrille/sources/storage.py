@@ -11,7 +11,7 @@ codec is zstd unless told otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.keys import CELL, KEY
@@ -109,6 +109,24 @@ class CellStore:
             rows = rows.where(F.col("z").between(*z))
         return rows if x is None else rows.where(F.col("x") == x)
 
+    def write_slice(self, name: str, rows: DataFrame, level: int, t: int = 0, channel: str = "t") -> None:
+        """Replace slices (level, z) of a stored property by rows (z, x, y, v); its other slices stay."""
+        self._writable()
+        old = self.read_property(name, t, channel).where(F.col("level") == level)
+        keep = old.join(rows.select("z").distinct(), "z", "left_anti").select(*CELL, "v")
+        new = rows.select(F.lit(level).alias("level"), *KEY, F.col("v").cast(self.property_type(name)).alias("v"))
+        # What is read is written over, so it is settled first.
+        all_ = keep.unionByName(new).withColumn("channel", F.lit(channel)).withColumn("t", F.lit(t)).checkpoint()
+        self._save(all_, f"parts/name={name}", ["channel", "t", "level"])
+
+    def row_ranges(self, level: int, t: int = 0, channel: str = "t") -> DataFrame:
+        """z, x, n, begin, stop: the cells of each stored row of a level, numbered from the level's first."""
+        n = self.read_cells(t, channel).where(F.col("level") == level).groupBy("z", "x").agg(F.count("*").alias("n"))
+        slices = n.groupBy("z").agg(F.sum("n").alias("m"))
+        base = slices.select("z", F.coalesce(F.sum("m").over(Window.orderBy("z").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+        stop = F.col("base") + F.sum("n").over(Window.partitionBy("z").orderBy("x"))
+        return n.join(base, "z").select("z", "x", "n", (stop - F.col("n")).alias("begin"), stop.alias("stop"))
+
     # --- images ---
 
     def write_image(self, name: str, grid: DataFrame, block: int = 16) -> None:
