@@ -15,12 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches of its session held to a few MB: rows of long texts fill the default ones with tens of MB on either side."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    return df
+def configure(spark: SparkSession) -> SparkSession:
+    """Hold Arrow batches of the session to a few MB: rows of long texts fill the default ones with tens of MB on either side.
+
+    Called by the registered queries and the pipeline, which own their session; operators leave settings alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return spark
 
 
 def trim() -> None:
@@ -62,14 +63,16 @@ def lean_groups(f):
         finally:
             trim()
 
-    # Spark reads the number of arguments off the signature.
-    return one if f.__code__.co_argcount == 1 else two
+    # Spark reads the number of arguments off the signature; those with defaults are bound already.
+    return one if f.__code__.co_argcount - len(f.__defaults__ or ()) == 1 else two
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests) a local one is made and set."""
+    """The folder in spark.checkpoint.dir.  Where it is unset, a local master (tests) gets one made and set; a cluster has no folder to fall back on, so it raises."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quadrille-")
         spark.sparkContext.setCheckpointDir(root)
     return root if "://" in root or root.startswith("file:") else ("file://" + root if root.startswith("/") else root)
@@ -97,6 +100,34 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def files_of(uri: str):
+    """File system and path of a URI, for tasks that read or write plain files of the shared folder."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(uri)
+
+
+def put(uri: str, raw: bytes) -> None:
+    """Write a file whole: attempts write under a name of their own and move it, so a reader never meets a torn file."""
+    fs, path = files_of(uri)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as f:
+        f.write(raw)
+    fs.move(part, path)
+
+
+def take(uri: str) -> bytes:
+    fs, path = files_of(uri)
+    with fs.open_input_file(path) as f:
+        return f.read()
+
+
+def kind_of(df: DataFrame, column: str) -> str:
+    """A column's type as text."""
+    return df.schema[column].dataType.simpleString()
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, mod n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
@@ -109,3 +140,7 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    return df
