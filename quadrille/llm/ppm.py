@@ -14,14 +14,21 @@ order-3 contexts its distinct grams (one packed array), a bucket merges the
 counts of all blocks, grows its part of the trie, and answers every gram of
 every block with its log probability; the block then adds up its documents.
 Counts of contexts shorter than the bucket key are at most 257**3 numbers and
-are sent along.  The unigram word baseline takes the same road by word.  So
-common strings cross the network once for each block, no key is hot and no
-table of the whole corpus sits in one process.
+are broadcast once.  The unigram word baseline takes the same road by word.
+Blocks meet in a tree of fan-in FAN: a node merges the distinct grams of its
+children in one bucket and sends its own on, and the answers come back the
+same way.  So a context that every block has reaches a task FAN times at the
+most, however many blocks there are, and no table of the whole corpus sits in
+one process.  Partitions are as many as there are blocks or buckets.
 
 Defined results: a null text counts as empty (one end symbol, one end token);
+a very long text is scored whole, in a block of its own size if need be;
 without training documents every symbol has probability 1/257; repeated rows
-are scored and counted each; rows with a null id fall in block and fold of
-the empty id; other columns are ignored; an empty table gives an empty result.
+are scored and counted each (rows equal in id and text share a block); rows
+with a null id fall in block and fold of the empty id; ids keep their type;
+other columns, whatever their names, are ignored; an empty table gives an
+empty result.  The log probability of a symbol crosses the network in single
+precision (7 digits); sums are in double precision.
 """
 
 from __future__ import annotations
@@ -37,12 +44,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import lean, lean_groups, small_batches
+from quadrille.llm.common import lean, lean_groups
 
 ORDER, LOW = 5, 2
 END, PAD, SYMBOLS = 256, 257, 257
 BITS = 9
 BLOCK_BYTES, CHUNK_BYTES = 9_000_000, 2_000_000
+FAN = 32
 ALPHA = 0.1
 U = np.uint64
 
@@ -155,7 +163,7 @@ def survey(docs: DataFrame, order: int) -> tuple[dict[int, tuple[np.ndarray, np.
         g, c = grouped(*map(np.concatenate, zip(*held))) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         yield pd.DataFrame({"g": np.concatenate([g.astype(np.int64), -1 - np.arange(4)]), "n": np.concatenate([c.astype(np.int64), totals])})
 
-    rows = small_batches(docs).select("text", "train").mapInPandas(lean(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text", "train").mapInPandas(lean(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
     g, n = rows["g"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
     tot = dict(zip(("bytes", "docs", "tokens", "train_docs"), (int(n[g == -1 - i].sum()) for i in range(4))))
     keep = np.argsort(g[g >= 0])
@@ -215,12 +223,6 @@ def _runs(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(bucket[a]), a, b) for a, b in zip(at.tolist(), at[1:].tolist())]
 
 
-def _word_codes(blobs) -> np.ndarray:
-    """Words of all blobs, one after another, as numbers of distinct words."""
-    words = pa.concat_arrays([pa.array(x.split(b" "), pa.large_binary()) for x in blobs])
-    return words.dictionary_encode().indices.to_numpy()
-
-
 def vocabulary(rows: DataFrame, buckets: int) -> int:
     """Distinct words: each task sends its own once for about CHUNK_BYTES of text, a bucket counts those that it gets."""
 
@@ -242,13 +244,29 @@ def vocabulary(rows: DataFrame, buckets: int) -> int:
             yield pack(held)
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"n": [int(_word_codes(frame["keys"]).max()) + 1]})
+        return pd.DataFrame({"n": [len(pa.concat_arrays([pa.array(x.split(b" "), pa.large_binary()) for x in frame["keys"]]).dictionary_encode().dictionary)]})
 
     sent = rows.select("text").mapInPandas(lean(send), "bucket int, keys binary")
     return sent.groupBy("bucket").applyInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def score(docs: DataFrame, train, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def merged(kind: int, keys: list[bytes], counts: list[bytes], width: type) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray | list[bytes]]:
+    """Of the children of a node: for each of their keys the place among the node's own, where the children begin, the node's counts and its keys."""
+    n = [np.frombuffer(x, width) for x in counts]
+    cut, n = np.cumsum([len(c) for c in n])[:-1].tolist(), np.concatenate(n).astype(np.int64)
+    if kind == 0:
+        codes, uniq = pd.factorize(np.concatenate([np.frombuffer(x, np.uint64) for x in keys]))
+        by = np.argsort(uniq)
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        codes, uniq = rank[codes], uniq[by]
+    else:
+        coded = pa.concat_arrays([pa.array(x.split(b" "), pa.large_binary()) for x in keys]).dictionary_encode()
+        uniq, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    return codes, cut, np.bincount(codes, weights=n, minlength=len(uniq)).astype(np.int64), uniq
+
+
+def score(docs: DataFrame, train, order: int = ORDER, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  train: boolean Column, true where a row is learned from."""
     if not 3 <= order <= 6:
         raise ValueError("order is 3 to 6")
@@ -259,7 +277,8 @@ def score(docs: DataFrame, train, order: int = ORDER, block_bytes: int = BLOCK_B
     buckets = max(8, math.ceil(tot["bytes"] / (2 * block_bytes)))
     distinct = vocabulary(rows.where("train"), buckets) + (1 if tot["train_docs"] else 0)
     whole, ends = math.log10(tot["tokens"] + ALPHA * (distinct + 1)), tot["train_docs"]
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    short = docs.sparkSession.sparkContext.broadcast(low)
 
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
         texts, own = [_bytes(t) for t in frame["text"]], frame["train"].to_numpy(bool)
@@ -268,25 +287,46 @@ def score(docs: DataFrame, train, order: int = ORDER, block_bytes: int = BLOCK_B
         out = [(0, x, block, g[a:z].tobytes(), n[a:z].astype(np.int32).tobytes()) for x, a, z in _runs(b)]
         w, n, b, _, _ = block_words(texts, own, buckets)
         out += [(1, x, block, b" ".join(w[a:z]), n[a:z].astype(np.int32).tobytes()) for x, a, z in _runs(b)]
-        return pd.DataFrame(out, columns=["kind", "bucket", "block", "keys", "counts"])
-
-    def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        counts = [np.frombuffer(x, np.int32) for x in frame["counts"]]
-        cut = np.cumsum([len(c) for c in counts])[:-1]
-        n = np.concatenate(counts).astype(np.int64)
-        if frame["kind"].iloc[0] == 0:
-            codes, uniq = pd.factorize(np.concatenate([np.frombuffer(x, np.uint64) for x in frame["keys"]]))
-            total = np.bincount(codes, weights=n, minlength=len(uniq)).astype(np.int64)
-            by = np.argsort(uniq)
-            by = by[total[by] > 0]
-            found = Trie((uniq[by], total[by]), order, low).log10(uniq)[codes].astype(np.float32)
+        return pd.DataFrame(out, columns=["kind", "bucket", "child", "keys", "counts"])
+
+    def answer(frame: pd.DataFrame, width: type) -> pd.DataFrame:
+        kind = int(frame["kind"].iloc[0])
+        codes, cut, total, uniq = merged(kind, [*frame["keys"]], [*frame["counts"]], width)
+        if kind == 0:
+            have = total > 0
+            found = Trie((uniq[have], total[have]), order, short.value).log10(uniq)[codes].astype(np.float32)
         else:
-            codes = _word_codes(frame["keys"])
-            found = np.bincount(codes, weights=n).astype(np.int64)[codes]
-        return pd.DataFrame({"kind": frame["kind"], "bucket": frame["bucket"], "block": frame["block"], "found": [x.tobytes() for x in np.split(found, cut)]})
-
-    asked = dealt.groupBy("block").applyInPandas(lean_groups(ask), "kind int, bucket int, block int, keys binary, counts binary")
-    answers = asked.groupBy("kind", "bucket").applyInPandas(lean_groups(answer), "kind int, bucket int, block int, found binary")
+            found = total[codes]
+        return pd.DataFrame({"kind": frame["kind"], "bucket": frame["bucket"], "child": frame["child"], "found": [x.tobytes() for x in np.split(found, cut)]})
+
+    def merge(frame: pd.DataFrame, width: type) -> pd.DataFrame:
+        frame = frame.sort_values("child")
+        kind, bucket, node = (int(frame[c].iloc[0]) for c in ("kind", "bucket", "node"))
+        _, _, total, uniq = merged(kind, [*frame["keys"]], [*frame["counts"]], width)
+        return pd.DataFrame([(kind, bucket, node, uniq.tobytes() if kind == 0 else b" ".join(uniq), total.tobytes())], columns=["kind", "bucket", "child", "keys", "counts"])
+
+    def split(frame: pd.DataFrame, found: pd.DataFrame, width: type) -> pd.DataFrame:
+        frame = frame.sort_values("child")
+        kind = int(frame["kind"].iloc[0])
+        codes, cut, _, _ = merged(kind, [*frame["keys"]], [*frame["counts"]], width)
+        own = np.frombuffer(found["found"].iloc[0], np.int64 if kind else np.float32)[codes]
+        return pd.DataFrame({"kind": frame["kind"], "bucket": frame["bucket"], "child": frame["child"], "found": [x.tobytes() for x in np.split(own, cut)]})
+
+    sent, found_schema = "kind int, bucket int, child int, keys binary, counts binary", "kind int, bucket int, child int, found binary"
+    children = dealt.groupBy("block").applyInPandas(lean_groups(ask), sent)
+    nodes, levels, width = blocks, [], np.int32
+    while nodes > fan:
+        nodes = -(-nodes // fan)
+        placed = children.withColumn("node", F.floor(F.col("child") / fan).cast("int")).repartition(min(100_000, buckets * nodes), "kind", "bucket", "node")
+        levels.append((placed, width, min(100_000, buckets * nodes)))
+        children = placed.groupBy("kind", "bucket", "node").applyInPandas(lean_groups(lambda frame, w=width: merge(frame, w)), sent)
+        width = np.int64
+    answers = children.repartition(buckets, "kind", "bucket").groupBy("kind", "bucket").applyInPandas(lean_groups(lambda frame, w=width: answer(frame, w)), found_schema)
+    on = ["kind", "bucket", "node"]
+    for placed, width, parts in reversed(levels):
+        known = answers.withColumnRenamed("child", "node").repartition(parts, *on)
+        answers = placed.groupBy(*on).cogroup(known.groupBy(*on)).applyInPandas(lean_groups(lambda frame, found, w=width: split(frame, found, w)), found_schema)
+    answers = answers.withColumnRenamed("child", "block").repartition(blocks, "block")
 
     def add(frame: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         texts, own = [_bytes(t) for t in frame["text"]], frame["train"].to_numpy(bool)
