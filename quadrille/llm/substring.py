@@ -8,9 +8,16 @@ lines, has at least min_words words; so whole lines, paragraphs and passages
 inside a line go alike, while short sentences that agree by chance stay.
 With whole_lines a line that an earlier place has as a line goes at any length.
 
-Defined results: a null text stays null with no spans; empty texts stay;
-rows that repeat a doc_id are ranked by their text digest; rows with a null
-doc_id are returned untouched; other columns pass through apply().
+Occurrences are hashed once, settled, and met by the repeated digests in a
+join whose hot side adaptive execution may split.
+
+Defined results: a null text stays null with no spans; empty texts stay; very
+long texts are cut whole; rows that repeat a doc_id are ranked by their text
+digest, and of rows equal in both one is the first and every unit of the
+others is a repeat; ids keep their type, strings included; rows with a null
+doc_id are returned untouched; an empty table gives an empty result; other
+columns pass through apply(), and columns with the names of results are
+replaced.
 """
 
 from __future__ import annotations
@@ -22,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import fresh, lean, small_batches
+from quadrille.llm.common import fresh, kind_of, lean, settle
 
 MIN_WORDS = 8
 _UNIT = re.compile(r"[^\n]*?[.!?…][\"'”’)\]]*(?=\s|$)|[^\n]+", re.M)
@@ -84,7 +91,7 @@ def occurrences(docs: DataFrame, lines_under: int = 0) -> DataFrame:
                     lines = short_lines(text, spans, lines_under) if lines_under else []
                     for h, by_line in ((digests(text, spans), False), (line_digests(text, spans, lines), True)):
                         _, at = np.unique(h, axis=0, return_index=True) if len(h) > 1 else (None, np.arange(len(h)))
-                        ids.append(np.full(len(at), doc, np.int64))
+                        ids.append(np.full(len(at), doc, object if isinstance(doc, str) else None))
                         rows.append(np.full(len(at), row, np.int64))
                         pos.append((-1 - at if by_line else at).astype(np.int32))
                         hs.append(h[at])
@@ -92,16 +99,20 @@ def occurrences(docs: DataFrame, lines_under: int = 0) -> DataFrame:
                 h = np.concatenate(hs)
                 yield pd.DataFrame({"doc_id": np.concatenate(ids), "row": np.concatenate(rows), "pos": np.concatenate(pos), "h1": h[:, 0], "h2": h[:, 1]})
 
-    return small_batches(docs).mapInPandas(lean(run), "doc_id long, row long, pos int, h1 long, h2 long")
+    return docs.mapInPandas(lean(run), f"doc_id {kind_of(docs, 'doc_id')}, row long, pos int, h1 long, h2 long")
 
 
-def cut(text: str | None, later: np.ndarray, min_words: int, whole_lines: bool = False) -> tuple[str | None, list[tuple[int, int]], int]:
+def cut(text: str | None, later: np.ndarray, min_words: int, whole_lines: bool = False, again: bool = False) -> tuple[str | None, list[tuple[int, int]], int]:
     """Text without the runs of repeated units, their spans in the original, the number of units.
 
-    later: positions (by first place in the text) of units, and of lines as in occurrences(), that an earlier document has."""
+    later: positions (by first place in the text) of units, and of lines as in
+    occurrences(), that an earlier document has.  again: an equal row is ranked
+    before, so all of them are."""
     spans = units(text)
     if not spans:
         return text, [], 0
+    if again:
+        later = np.concatenate([np.arange(len(spans)), -1 - np.arange(len(short_lines(text, spans, min_words)) if whole_lines else 0)])
     h = [x.tobytes() for x in digests(text, spans)]
     gone, seen, flags = {h[i] for i in later if i >= 0}, set(), []
     for x in h:
@@ -145,16 +156,20 @@ def cut(text: str | None, later: np.ndarray, min_words: int, whole_lines: bool =
     return "".join(kept), out, len(spans)
 
 
-def apply(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str, str] = ("n_units", "spans"), whole_lines: bool = False) -> DataFrame:
+def apply(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str, str] = ("n_units", "spans"), whole_lines: bool = True) -> DataFrame:
     """docs with text cut (whole_lines: also of repeated lines under min_words words), and the number of units and the removed spans (start, stop in the original text) added or replaced under `names`."""
-    row, doc_, row_, later_ = (fresh(docs, x) for x in ("__row", "__doc", "__r", "__later"))
+    row, doc_, row_, later_, again_ = (fresh(docs, x) for x in ("__row", "__doc", "__r", "__later", "__again"))
     keyed = docs.withColumn(row, F.xxhash64("text"))
-    ids = keyed.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), "text")
-    occ = occurrences(ids, min_words if whole_lines else 0)
-    first = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.col("first.doc_id").alias("fd"), F.col("first.row").alias("fr"))
+    ids = keyed.where("doc_id is not null and text is not null").select("doc_id", F.col(row).alias("row"), "text")
+    occ = settle(occurrences(ids, min_words if whole_lines else 0), "occurrences")
+    # Repeated digests alone are met; as a settled table they leave the other side of the join free to be split.
+    first = settle(occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.col("first.doc_id").alias("fd"), F.col("first.row").alias("fr")), "repeated")
     later = occ.join(first, ["h1", "h2"]).where("doc_id <> fd or row <> fr").groupBy("doc_id", "row").agg(F.collect_set("pos").alias(later_)).select(F.col("doc_id").alias(doc_), F.col("row").alias(row_), later_)
     base = [c for c in docs.columns if c not in names]
-    joined = keyed.join(later, (F.col("doc_id") == F.col(doc_)) & (F.col(row) == F.col(row_)), "left").select(*base, later_)
+    joined = keyed.join(later, (F.col("doc_id") == F.col(doc_)) & (F.col(row) == F.col(row_)), "left")
+    # The join has the rows of a key together already; equal rows behind the first are repeats as a whole.
+    place_in = F.row_number().over(Window.partitionBy("doc_id", row).orderBy(row))
+    joined = joined.withColumn(again_, (place_in > 1) & F.col("doc_id").isNotNull()).select(*base, later_, again_)
     place = base.index("text")
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*base).schema), f"`{names[0]}` int", f"`{names[1]}` array<struct<start:int,stop:int>>"])
 
@@ -163,8 +178,8 @@ def apply(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str, str] =
 
         for batch in frames:
             texts, n, spans = [], [], []
-            for text, places in zip(batch.column(place).to_pylist(), batch.column(len(base)).to_pylist()):
-                t, s, k = cut(text, np.array(places or [], np.int64), min_words, whole_lines)
+            for text, places, again in zip(batch.column(place).to_pylist(), batch.column(len(base)).to_pylist(), batch.column(len(base) + 1).to_pylist()):
+                t, s, k = cut(text, np.array(places or [], np.int64), min_words, whole_lines, again)
                 texts.append(t)
                 n.append(k)
                 spans.append([{"start": a, "stop": b} for a, b in s])
@@ -173,4 +188,4 @@ def apply(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str, str] =
             cols += [pa.array(n, pa.int32()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]
             yield pa.RecordBatch.from_arrays(cols, names=[*base, *names])
 
-    return small_batches(joined).mapInArrow(lean(run), schema)
+    return joined.mapInArrow(lean(run), schema)
