@@ -10,7 +10,10 @@ belongs to the last symbol, which is therefore resolved in a leaf of its own.
 
 Defined results: a null text encodes as the empty text (no ids, digest of the
 empty string); special tokens written in a text become their own ids, as the
-library does by default.
+library does by default; a very long text or word is encoded whole; repeated
+rows give equal rows; a null id is kept, and ids keep their type; other
+columns, whatever their names, are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import lean, small_batches
+from quadrille.llm.common import lean
 
 MARK = "</w>"
 #: Before a special token among words; no text holds a lone surrogate after normalising to words.
@@ -208,4 +211,4 @@ def _encoded(docs: DataFrame, path: str, schema: str, give) -> DataFrame:
             out.insert(0, "doc_id", frame["doc_id"].reset_index(drop=True))
             yield out
 
-    return small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(lean(run), f"doc_id {kind}, {schema}")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(lean(run), f"doc_id {kind}, {schema}")
