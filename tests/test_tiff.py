@@ -36,3 +36,54 @@ def test_rejects(spark, tmp_path):
         tiff.info(f"file://{tmp_path}/b.tif")
     with pytest.raises(Exception, match="range"):
         tiff.save(cells(spark, GridMeta(3)).selectExpr("z", "x", "y", "-5 as v"), GridMeta(3), f"file://{tmp_path}/n")
+
+
+@pytest.mark.parametrize("kind", ["uint8", "uint16", "float32"])
+@pytest.mark.parametrize("compression", ["none", "deflate"])
+@pytest.mark.parametrize("large", [False, True])
+def test_layouts_and_compressions(tmp_path, kind, compression, large):
+    a = (np.arange(3 * 5 * 8).reshape(3, 5, 8) % 97).astype(kind)
+    (tmp_path / "a.tif").write_bytes(tiff.encode(a, 7, compression, large))
+    with open(tmp_path / "a.tif", "rb") as f:
+        found = tiff.pages(f)
+        assert found[0].description == "z=7" and all(np.array_equal(tiff.array(f, p), a[i]) for i, p in enumerate(found))
+
+
+def lzw(data):
+    """The plain way: strings grow in a table, codes widen one entry early."""
+    table, width, bits, now = {bytes([i]): i for i in range(256)}, 9, [], b""
+    emit = lambda code, w: bits.extend(code >> (w - 1 - i) & 1 for i in range(w))
+    emit(256, 9)
+    size = 258
+    for c in data:
+        if now + bytes([c]) in table:
+            now += bytes([c])
+            continue
+        emit(table[now], width)
+        table[now + bytes([c])] = size
+        size += 1
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+        if size == 4095:
+            emit(256, width)
+            table, size, width = {bytes([i]): i for i in range(256)}, 258, 9
+        now = bytes([c])
+    if now:
+        emit(table[now], width)
+        width = 9 if size + 1 < 512 else 10 if size + 1 < 1024 else 11 if size + 1 < 2048 else 12
+    emit(257, width)
+    return np.packbits(bits).tobytes()
+
+
+def test_packed_strips():
+    r = np.random.default_rng(4)
+    for n, top in ((0, 3), (1, 3), (700, 3), (5000, 256), (20000, 7)):
+        data = r.integers(0, top, n, dtype=np.uint8).tobytes()
+        assert tiff.unlzw(lzw(data)) == data, (n, top)
+    assert tiff.unpackbits(bytes([2, 1, 2, 3, 254, 9, 128, 0, 5])) == bytes([1, 2, 3, 9, 9, 9, 5])
+
+
+def test_compressed_slabs(spark, tmp_path):
+    meta, uri = GridMeta(6, 5, 9), f"file://{tmp_path}/c"
+    grid = cells(spark, meta).selectExpr("z", "x", "y", "z * 100 + x * 10 + y as v")
+    assert tiff.save(grid, meta, uri, slab=4, compression="deflate") == 3
+    assert tiff.read(spark, uri).where("v = z * 100 + x * 10 + y").count() == meta.pixels
