@@ -1,8 +1,7 @@
 """Operators on dense grids (z, x, y, v).
 
 Separable windows run as one window per axis, partitioned by the lines of that
-axis; gathers over a small stencil explode the offsets, so that the partial
-sums of groupBy combine before the shuffle.
+axis; a stencil runs on tiles with a halo.
 """
 
 from __future__ import annotations
@@ -10,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.keys import KEY, clamp_steps, clamp_weight
-from quadrille.plans.grids import densify
+from quadrille.operators import blocks
 from quadrille.plans.meta import AXES, GridMeta
 
 V = "v"
@@ -227,21 +228,24 @@ def dilate(grid: DataFrame, times: int = 1) -> DataFrame:
 
 
 def convolve(grid: DataFrame, meta: GridMeta, stencil: list[tuple[int, int, int, float]], reflect: bool = False) -> DataFrame:
-    """Sum of w * v(c + o) over the stencil rows (oz, ox, oy, w); zeros outside, or mirrored at the edge."""
-    offs = F.array(*[F.struct(F.lit(a).alias("oz"), F.lit(b).alias("ox"), F.lit(c).alias("oy"), F.lit(float(w)).alias("w")) for a, b, c, w in stencil])
-    sent = grid.withColumn("o", F.explode(offs))
-    if not reflect:
-        keys = [(F.col(a) - F.col(f"o.o{a}")).alias(a) for a in KEY]
-        inside = reduce(lambda p, q: p & q, [(F.col(a) >= 0) & (F.col(a) < meta.size[a]) for a in KEY])
-        moved = sent.select(*keys, (F.col("o.w") * F.col(V)).alias(V)).where(inside)
-        return densify(moved.groupBy(*KEY).agg(F.sum(V).alias(V)), meta, missing=0.0)
-    keys = []
-    for a in KEY:
-        n, c = meta.size[a], F.col(a) + F.col(f"o.o{a}")
-        keys.append(F.when(c < 0, -c).when(c > n - 1, 2 * (n - 1) - c).otherwise(c).alias(f"s{a}"))
-    need = grid.select(*KEY).withColumn("o", F.explode(offs)).select(*KEY, *keys, F.col("o.w").alias("w"))
-    src = grid.select(*[F.col(a).alias(f"s{a}") for a in KEY], V)
-    return need.join(src, [f"s{a}" for a in KEY]).groupBy(*KEY).agg(F.sum(F.col("w") * F.col(V)).alias(V))
+    """Sum of w * v(c + o) over the stencil rows (oz, ox, oy, w); zeros outside, or mirrored once at the edge.  Nulls add nothing."""
+    reach = {a: max(abs(r[i]) for r in stencil) for i, a in enumerate(KEY)}
+
+    def work(v: np.ndarray, lo: dict[str, int], start: dict[str, int], stop: dict[str, int]) -> pd.DataFrame:
+        at, there = [], np.ones((1, 1, 1), bool)
+        for i, a in enumerate(KEY):
+            n, c = meta.size[a], np.arange(start[a] - reach[a], stop[a] + reach[a])
+            c = np.where(c < 0, -c, np.where(c > n - 1, 2 * (n - 1) - c, c)) if reflect else c
+            there = there & ((c >= 0) & (c < n)).reshape([-1 if j == i else 1 for j in range(3)])
+            at.append(np.clip(c - lo[a], 0, v.shape[i] - 1))
+        wide = np.where(there, np.nan_to_num(v[np.ix_(*at)].astype(float)), 0.0)
+        shape = [stop[a] - start[a] for a in KEY]
+        out = np.zeros(shape)
+        for *o, w in stencil:
+            out += w * wide[tuple(slice(reach[a] + d, reach[a] + d + m) for a, d, m in zip(KEY, o, shape))]
+        return blocks.rows_of_array({V: out}, start)
+
+    return blocks.tiles(grid, meta, reach, work, "z int, x int, y int, v double")
 
 
 def richardson_lucy(grid: DataFrame, meta: GridMeta, psf: list[tuple[int, int, int, float]], iterations: int, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:

@@ -72,7 +72,7 @@ def numbered(cells: DataFrame, name: str = "pid") -> DataFrame:
     slices = cells.groupBy("level", "z").agg(F.count("*").alias("n"))
     base = slices.select("level", "z", F.coalesce(F.sum("n").over(Window.orderBy("level", "z").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("level", "z").orderBy("x", "y")) - 1
-    return cells.join(F.broadcast(base), ["level", "z"]).withColumn(name, (F.col("base") + rank).cast("long")).drop("base")
+    return cells.join(base, ["level", "z"]).withColumn(name, (F.col("base") + rank).cast("long")).drop("base")
 
 
 def row_scan(cells: DataFrame, level: int, z: int, x: int) -> DataFrame:
@@ -92,7 +92,7 @@ def linear_access(cells: DataFrame) -> DataFrame:
     slices = rows.groupBy("level", "z").agg(F.sum(F.size("y")).alias("n"))
     base = slices.select("level", "z", F.coalesce(F.sum("n").over(Window.orderBy("level", "z").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     end = F.sum(F.size("y")).over(Window.partitionBy("level", "z").orderBy("x"))
-    return rows.join(F.broadcast(base), ["level", "z"]).select("level", "z", "x", "y", (F.col("base") + end).cast("long").alias("row_end"))
+    return rows.join(base, ["level", "z"]).select("level", "z", "x", "y", (F.col("base") + end).cast("long").alias("row_end"))
 
 
 def random_access(cells: DataFrame) -> DataFrame:
