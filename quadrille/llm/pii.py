@@ -6,11 +6,17 @@ own format: a card stays a card with a right check digit, a date stays a date.
 The permutation depends on the key and the kind alone, so equal values give
 equal pseudonyms in every document and different values never meet.  Mail
 names and credentials are permuted character by character within their
-classes (digit, lower, upper), credentials in blocks of 128.
+classes (digit, lower, upper) in blocks of 128; names that differ only in case
+stay linked and keep their capitals in place.
+
+The key has no default: whoever has it can undo the pseudonyms.
 
 Defined results: candidates that fail validation and all other text stay byte
-for byte; a null text stays null; other columns pass through; the text of a
-long document is processed whole.  Two-digit years are not dates here.
+for byte; a null or empty text stays as it is; rows that repeat give equal
+rows; an empty table gives an empty result; other columns pass through, and a
+column with the name of the count is replaced; the text of a long document is
+processed whole, and so is a value of any length.  Two-digit years are not
+dates here.
 """
 
 from __future__ import annotations
@@ -20,12 +26,11 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.common import fresh
 
-KEY = "change-me"
 ROUNDS = 8
 #: Characters that one permutation of letters covers.
 BLOCK = 128
 
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,63}(?![A-Za-z0-9-])"
 IPV4 = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"
 PHONE = r"(?<![\w+(])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -131,14 +136,13 @@ def _ssn(key: str, m: str) -> str:
     return f"if({area} between 1 and 899 and {area} <> 666 and {group} > 0 and {serial} > 0, {_feistel(key, 'ssn', rank, f'{serial} - 1', 898 * 99, 9999, then)}, {m})"
 
 
-#: Days of 1900-01-01 to 2099-12-31, and two factors whose product is the next larger.
-DAYS, DAYS_A, DAYS_B = 73049, 271, 270
+#: Days of 1900-01-01 to 2099-12-31, and two factors of their number.
+DAYS, DAYS_A, DAYS_B = 73049, 17, 4297
 
 
 def _day(key: str, n: str) -> str:
-    """Permute day numbers; the few values of the product beyond DAYS are walked through."""
-    step = _feistel(key, "date", f"w div {DAYS_B}", f"w % {DAYS_B}", DAYS_A, DAYS_B, f"s.l * {DAYS_B} + s.r")
-    return f"aggregate(sequence(0, {DAYS_A * DAYS_B - DAYS}), cast(-1 as bigint), (v, t) -> if(v >= 0 and v < {DAYS}, v, {_bind(f'if(v < 0, cast({n} as bigint), v)', 'w', step)}))"
+    """Permute day numbers, which are exactly the pairs of [0, DAYS_A) x [0, DAYS_B)."""
+    return _feistel(key, "date", f"{n} div {DAYS_B}", f"{n} % {DAYS_B}", DAYS_A, DAYS_B, f"s.l * {DAYS_B} + s.r")
 
 
 def _date(key: str, m: str) -> str:
@@ -191,21 +195,27 @@ def _spaced_iban(key: str, m: str) -> str:
     return _bind(f"replace({m}, ' ', '')", "z", _bind(_iban(key, "z"), "o", "regexp_replace(o, '(.{4})(?=.)', '$1 ')"))
 
 
+def _blocks(key: str, kind: str, value: str) -> str:
+    """_letters() over blocks of a value of any length."""
+    block = _bind(f"substr({value}, {BLOCK} * k + 1, {BLOCK})", "b", _letters(key, kind, "b", _classes("b")))
+    return f"array_join(transform(sequence(0, cast((length({value}) - 1) div {BLOCK} as int)), k -> {block}), '')"
+
+
 def _mail(key: str, m: str) -> str:
-    name = f"lower(substring_index({m}, '@', 1))"
-    return _bind(name, "u", f"concat({_letters(key, 'mail', 'u', _classes('u'))}, '@', substring_index({m}, '@', -1))")
+    # The name in lower case is permuted; capitals come back where they were.
+    capitals = "array_join(transform(sequence(1, length(n)), j -> if(substr(n, j, 1) rlike '[A-Z]', upper(substr(o, j, 1)), substr(o, j, 1))), '')"
+    name = _bind("lower(n)", "u", _bind(_blocks(key, "mail", "u"), "o", f"if(n = u, o, {capitals})"))
+    return _bind(f"substring_index({m}, '@', 1)", "n", f"concat({name}, '@', substring_index({m}, '@', -1))")
 
 
 def _secret(key: str, m: str) -> str:
     head = f"regexp_extract({m}, '^[A-Za-z_]+\\\\s*[=:]\\\\s*\"?', 0)"
     quote = f"if({m} like '%\"', '\"', '')"
     value = f"substr({m}, length(h) + 1, length({m}) - length(h) - length({quote}))"
-    block = _bind(f"substr(v, {BLOCK} * k + 1, {BLOCK})", "u", _letters(key, "secret", "u", _classes("u")))
-    blocks = f"array_join(transform(sequence(0, cast((length(v) - 1) div {BLOCK} as int)), k -> {block}), '')"
-    return _bind(head, "h", _bind(value, "v", f"concat(h, {blocks}, {quote})"))
+    return _bind(head, "h", _bind(value, "v", f"concat(h, {_blocks(key, 'secret', 'v')}, {quote})"))
 
 
-def pseudonym(m: str, key: str = KEY) -> str:
+def pseudonym(m: str, key: str) -> str:
     """SQL for the pseudonym of one candidate m."""
     cloud = f"concat(substr({m}, 1, 4), {_letters(key, 'cloud', f'substr({m}, 5)', _classes(f'substr({m}, 5)'))})"
     # Patterns without their look-around: the candidate stands alone here.
@@ -219,17 +229,22 @@ def pseudonym(m: str, key: str = KEY) -> str:
     )
 
 
-def apply(docs: DataFrame, key: str = KEY, name: str = "n_pseudonyms") -> DataFrame:
+def apply(docs: DataFrame, key: str, name: str = "n_pseudonyms") -> DataFrame:
     """docs with text pseudonymised and the number of pseudonyms added or replaced under `name`."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     base = [c for c in docs.columns if c != name]
-    p, r, n = _q(PATTERN), _q(RUN), fresh(docs, "__new")
-    # Pieces between candidates and the pseudonyms behind them; the cards of a piece, with the number of cards.
+    p, r = _q(f"({PATTERN})"), _q(RUN)
+    mark, parts, new = fresh(docs, "__mark"), fresh(docs, "__parts"), fresh(docs, "__new")
+    # The pattern runs once: candidates are set between marks that the text cannot hold, as they come from a digest of it.
+    marked = docs.select(*base).withColumn(mark, F.expr("concat(chr(1), substr(sha2(text, 256), 1, 24), chr(1))"))
+    marked = marked.withColumn(parts, F.expr(f"if(text is null, null, split(regexp_replace(text, {p}, concat(`{mark}`, '$1', `{mark}`)), `{mark}`, -1))"))
+    # Odd places hold candidates, even ones what lies between; there the cards are looked for.
     run = _bind(_cards(key, "m"), "t", "named_struct('p', translate(t, 'KLMNOPQRSTabcdefghij', '01234567890123456789'), 'n', length(t) - length(translate(t, 'KLMNOPQRST', '')))")
     runs = f"transform(regexp_extract_all(a, {r}, 0), m -> {run})"
     piece = f"if(a rlike {r}, {_bind(runs, 'c', f"named_struct('p', array_join(zip_with(split(a, {r}, -1), c, (u, v) -> concat(u, coalesce(v.p, ''))), ''), 'n', aggregate(c, 0, (k, v) -> k + v.n))")}, named_struct('p', a, 'n', 0))"
-    new = f"transform(regexp_extract_all(text, {p}, 0), m -> {_bind(pseudonym('m', key), 'o', "named_struct('p', o, 'n', if(m <> o, 1, 0))")})"
-    both = f"zip_with(transform(split(text, {p}, -1), a -> {piece}), {new}, (a, b) -> named_struct('p', concat(a.p, coalesce(b.p, '')), 'n', a.n + coalesce(b.n, 0)))"
-    out = docs.select(*base).withColumn(n, F.expr(f"if(text is not null and (text rlike {p} or text rlike {r}), {both}, null)"))
-    text = F.expr(f"if({n} is null, text, array_join(transform({n}, x -> x.p), ''))")
-    count = F.expr(f"coalesce(aggregate({n}, 0, (k, x) -> k + x.n), 0)")
+    own = _bind(pseudonym("a", key), "o", "named_struct('p', o, 'n', if(a <> o, 1, 0))")
+    out = marked.withColumn(new, F.expr(f"if(size(`{parts}`) > 1 or text rlike {r}, transform(`{parts}`, (a, i) -> if(i % 2 = 1, {own}, {piece})), null)"))
+    text = F.expr(f"if(`{new}` is null, text, array_join(transform(`{new}`, x -> x.p), ''))")
+    count = F.expr(f"coalesce(aggregate(`{new}`, 0, (k, x) -> k + x.n), 0)")
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in base], count.cast("int").alias(name))
