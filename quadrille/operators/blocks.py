@@ -24,6 +24,8 @@ from quadrille.plans.meta import AXES, GridMeta
 #: Edge of a tile in pixels by dimensions, even; cells of a group of lines; values of patches held at once.
 TILE = {0: 2, 1: 1 << 20, 2: 1024, 3: 96}
 LINE, LINES = 65536, 1 << 20
+#: Cells of a block of one level's image, and values of patches in one frame.
+CELLS, VALUES = 1 << 18, 1 << 23
 PATCHES = 1 << 22
 
 
@@ -113,7 +115,7 @@ def pyramid(grid: DataFrame, meta: GridMeta, how: str = "mean", l_min: int = 1,
 
 def neighbourhood_max(pyramid_: DataFrame, meta: GridMeta, name: str = "n") -> DataFrame:
     """pyramid_ (level, key, v; the finest level has the extents of meta's half) with the largest v of the direct neighbourhood at the same level."""
-    half, edge = meta.half(), {0: 2, 1: 1 << 18, 2: 512, 3: 64}[meta.dimensions]
+    half, edge = meta.half(), 1 << max(1, int(math.log2(CELLS)) // max(1, meta.dimensions))
     size = {a: extent(meta, a) for a in AXES}
     ends = {a: F.least(F.col(a) + 1, size[a] - 1) for a in AXES}
     kind = pyramid_.schema["v"].dataType.simpleString()
@@ -140,9 +142,9 @@ def neighbourhood_max(pyramid_: DataFrame, meta: GridMeta, name: str = "n") -> D
 # --- lines of a dense grid ----------------------------------------------------------------
 
 
-def lines(grid: DataFrame, meta: GridMeta, axis: str, halo: int, columns: list[str], work: Callable, schema: str, span: int = LINE) -> DataFrame:
+def lines(grid: DataFrame, meta: GridMeta, axis: str, halo: int, columns: list[str], work: Callable, schema: str, span: int | None = None) -> DataFrame:
     """work({column: array (lines, cells)}, first cell, halves of the axis' length cut) -> {column: array of that shape}, for groups of lines in runs of `span` cells with a halo."""
-    n, others = meta.size[axis], [a for a in AXES if a != axis]
+    n, others, span = meta.size[axis], [a for a in AXES if a != axis], span or LINE
     many = max(1, LINES // min(n, span + 2 * halo))
     number = F.col(others[0]).cast("long") * meta.size[others[1]] + F.col(others[1])
     first, last = F.floor(F.greatest(F.col(axis) - halo, F.lit(0)) / span), F.floor(F.least(F.col(axis) + halo, F.lit(n - 1)) / span)
@@ -185,7 +187,7 @@ def patches(cells: DataFrame, meta: GridMeta, kernels: list[np.ndarray], reflect
     deep = max(1, math.ceil(math.log2(wide + 2) - 1)) if wide else 0
     dims = max(1, meta.dimensions)
     # Cells of a block by its edge; smaller where patches are large and one frame holds them.
-    edge = 1 << max(3, int(math.log2((1 << 18) if not by_cell else min(1 << 18, max(4096, (1 << 23) // places)))) // dims)
+    edge = 1 << max(1, int(math.log2(min(CELLS, max(4096, VALUES // places)) if by_cell else CELLS)) // dims)
     n = lambda a, l: extent(meta, a, l)
     e = (F.lit(None) if extra is None else extra).cast("double").alias("e")
     leaf = cells.select(*CELL, F.col("v").cast("double").alias("v"), e).withColumn("d", F.explode(F.sequence(F.lit(0), F.least(F.lit(deep), F.lit(meta.l_max) - F.col("level")))))

@@ -83,7 +83,7 @@ def spline_coefficients(smoothing: float, tolerance: float = 1e-4) -> tuple[floa
     return b1, b2, math.sqrt(gain), size
 
 
-def smooth_spline(grid: DataFrame, meta: GridMeta, smoothing: float, tolerance: float = 1e-4, integer: bool = False, span: int = blocks.LINE) -> DataFrame:
+def smooth_spline(grid: DataFrame, meta: GridMeta, smoothing: float, tolerance: float = 1e-4, integer: bool = False, span: int | None = None) -> DataFrame:
     """Causal and anticausal second-order recursion along each line, mirrored ends.
 
     A recursion along a line has no SQL form: runs of many lines are arrays,
