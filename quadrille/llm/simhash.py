@@ -5,32 +5,46 @@ exclusive-or and bit counts.  Tiles hold fingerprints of one population count;
 tile pairs whose counts differ by more than the radius are never formed, and
 inside a tile pair the same bound is applied to the four 16-bit quarters.
 
+A tile is written once to the shared folder.  A task takes one tile and a run
+of its partners and reads these by path, so no fingerprint is copied into the
+shuffle once for each partner.  Tiles are small against the table while the
+table is small (its square root decides), so no population count fills a task.
 Links leave a tile pair only as a spanning forest, so a group of thousands of
 near copies gives as many edges as it has members.  Components are then found
-by alternating star contractions over DataFrames.
+by alternating star contractions over DataFrames, to the end.
 
 Defined results: a null or wordless text has fingerprint 0 and links like any
-other; equal fingerprints are one node; rows with a null id are left out;
-other columns of the input are ignored; an empty table gives an empty result.
+other; equal fingerprints are one node, so ties and repeated rows share a
+group; rows with a null id are returned too and link like others, but never
+name a group that has an id (a group without any has a null name); ids keep
+their type, strings included; a very long text is hashed whole, in pieces;
+other columns of the input, whatever their names, are ignored by
+near_duplicates() and passed on by deduplicate(); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import io
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quadrille.llm.common import discard, lean, lean_groups, settle, small_batches
+from quadrille.llm.common import discard, fresh, kind_of, lean, lean_groups, put, scratch, settle, take
 
 SEED = 42
-TILE = 65536
+#: Most fingerprints of a tile; and least, below which a tile is not worth a file.
+TILE, LEAST = 65536, 256
+#: Partner tiles that one task row meets, as fingerprints.
+RUN = 4 * TILE
 CELLS = 1_000_000
+#: Pairs up to which two tiles are compared without a look at the quarters.
+WHOLE = 64_000_000
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -59,9 +73,9 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             fp = np.array([fingerprint(t, words) for t in frame["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(np.int64), "fp": fp})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].reset_index(drop=True), "fp": fp})
 
-    return small_batches(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(lean(run), "doc_id long, fp long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(lean(run), f"doc_id {kind_of(docs, 'doc_id')}, fp long")
 
 
 def _quarters(v: np.ndarray) -> np.ndarray:
@@ -75,15 +89,17 @@ def forest(a: np.ndarray, ida: np.ndarray, b: np.ndarray, idb: np.ndarray, radiu
     ids = ida if same else np.concatenate([ida, idb])
     root, base = np.arange(len(ids)), 0 if same else len(ida)
     left, right = [], []
-    qa, qb = _quarters(a), _quarters(b)
-    order = np.lexsort(qa.T)
-    cut = np.flatnonzero(np.any(np.diff(qa[order], axis=0) != 0, axis=1)) + 1 if len(a) else []
-    qb16 = qb.astype(np.int16)
-    for group in np.split(order, cut):
-        if not len(group):
-            continue
-        near = np.flatnonzero(np.abs(qb16 - qa[group[0]]).sum(1) <= radius)
-        if not len(near):
+    whole = len(a) * len(b) <= WHOLE
+    if whole:
+        groups = [np.arange(len(a))]
+    else:
+        qa, qb = _quarters(a), _quarters(b)
+        order = np.lexsort(qa.T)
+        groups = np.split(order, np.flatnonzero(np.any(np.diff(qa[order], axis=0) != 0, axis=1)) + 1)
+        qb16 = qb.astype(np.int16)
+    for group in groups:
+        near = np.arange(len(b)) if whole else np.flatnonzero(np.abs(qb16 - qa[group[0]]).sum(1) <= radius)
+        if not len(near) or not len(group):
             continue
         other, step = b[near], max(1, CELLS // len(near))
         for at in range(0, len(group), step):
@@ -110,52 +126,85 @@ def forest(a: np.ndarray, ida: np.ndarray, b: np.ndarray, idb: np.ndarray, radiu
     return ids[np.array(left, np.int64)], ids[np.array(right, np.int64)]
 
 
+def _packed(ids: np.ndarray, fps: np.ndarray, wides: bytes) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, ids=ids, fps=fps, wides=np.frombuffer(wides, np.uint64).reshape(len(fps), -1))
+    return out.getvalue()
+
+
+def _tile(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    with np.load(io.BytesIO(take(uri))) as x:
+        return x["ids"], x["fps"].view(np.uint64), x["wides"]
+
+
+def tile_size(n: int, most: int = TILE) -> int:
+    """Fingerprints of a tile: twice the square root of their number, within LEAST and `most`, so that tiles and their size grow together."""
+    return min(most, max(LEAST, 2 * math.isqrt(n)))
+
+
 def links(nodes: DataFrame, radius: int, tile: int = TILE, all_words: int | None = None) -> DataFrame:
     """A spanning set of links (a, b) between ids whose fingerprints differ in at most radius bits.
 
-    nodes: id, fp; with all_words also wide (binary), which may differ in so
-    many bits over all words.  Only 65 counts reach the driver."""
-    spark = nodes.sparkSession
+    nodes: id (long, or 16 bytes), fp; with all_words also wide (binary), which
+    may differ in so many bits over all words.  Only 65 counts reach the driver."""
+    spark, fits = nodes.sparkSession, all_words is not None
+    kind, root = kind_of(nodes, "id"), scratch(nodes.sparkSession, "tiles")
+    long = kind != "binary"
     pop = F.bit_count("fp").cast("int")
-    sizes = {r["pop"]: -(-r["n"] // tile) for r in nodes.groupBy(pop.alias("pop")).agg(F.count("*").alias("n")).collect()}
+    counts = {r["pop"]: r["n"] for r in nodes.groupBy(pop.alias("pop")).agg(F.count("*").alias("n")).collect()}
+    schema = f"a {kind}, b {kind}"
+    if not counts:
+        return spark.createDataFrame([], schema)
+    each = min(tile, tile_size(sum(counts.values()), tile))
+    sizes = {p: -(-n // each) for p, n in counts.items()}
     parts = spark.createDataFrame([(p, n) for p, n in sizes.items()], "pop int, parts int")
-    near = spark.createDataFrame([(p, q, n) for p in sizes for q, n in sizes.items() if abs(p - q) <= radius], "pop int, other int, other_parts int")
-    fits = all_words is not None
+    # Tiles in the order of population counts: a tile's partners are a run of numbers behind it.
+    order = sorted(sizes)
+    first = dict(zip(order, np.cumsum([0, *(sizes[p] for p in order)]).tolist()))
+    until = {p: max(first[q] + sizes[q] for q in order if p <= q <= p + radius) for p in order}
     part = F.pmod(F.xxhash64("wide" if fits else "fp"), F.col("parts")).cast("int")
     cells = nodes.withColumn("pop", pop).join(F.broadcast(parts), "pop").withColumn("part", part)
+    total = sum(sizes.values())
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"pop": key[0], "part": key[1], "ids": frame["id"].to_numpy(np.int64).tobytes(), "fps": frame["fp"].to_numpy(np.int64).tobytes(), "wides": b"".join(frame["wide"]) if fits else b""}])
-
-    tiles = cells.groupBy("pop", "part").applyInPandas(pack, "pop int, part int, ids binary, fps binary, wides binary")
-    me, you = F.struct("pop", "part"), F.struct(F.col("other").alias("pop"), F.col("other_part").alias("part"))
-    pairs = (
-        tiles.join(F.broadcast(near), "pop")
-        .withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
-        .withColumn("lo", F.least(me, you))
-        .withColumn("hi", F.greatest(me, you))
-        .select("lo", "hi", (me == F.col("lo")).alias("first"), "ids", "fps", "wides")
-    )
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame.sort_values("first", ascending=False)
-        fps = [np.frombuffer(x, np.uint64) for x in first["fps"]]
-        ids = [np.frombuffer(x, np.int64) for x in first["ids"]]
-        same = len(fps) == 1
-        wide = [np.frombuffer(x, np.uint64).reshape(-1, WIDE) for x in first["wides"]] if fits else None
-        left, right = forest(fps[0], ids[0], fps[-1], ids[-1], radius, same, (wide[0], wide[-1], all_words) if fits else None)
-        return pd.DataFrame({"a": left, "b": right})
-
-    return pairs.groupBy("lo", "hi").applyInPandas(lean_groups(compare), "a long, b long")
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+        ids = frame["id"].to_numpy(np.int64) if long else np.frombuffer(b"".join(frame["id"]), "V16")
+        number = first[int(key[0])] + int(key[1])
+        put(f"{root}/{number}", _packed(ids, frame["fp"].to_numpy(np.int64), b"".join(frame["wide"]) if fits else b""))
+        return pd.DataFrame({"tile": [number], "stop": [until[int(key[0])]]})
+
+    # Each tile is written once; hash parts of a small count may stay empty, so the tiles that exist are what the groups say.
+    columns = ["pop", "part", "id", "fp", *(["wide"] if fits else [])]
+    tiles = settle(cells.select(*columns).repartition(min(total, 100_000), "pop", "part").groupBy("pop", "part").applyInPandas(lean_groups(pack), "tile long, stop long"), "tile-list")
+    step = max(1, RUN // each)
+    runs = tiles.withColumn("start", F.explode(F.sequence(F.col("tile"), F.col("stop") - 1, F.lit(step)))).select("tile", "start", F.least(F.col("start") + step, "stop").alias("end"))
+    have = np.zeros(total, bool)
+    have[[r["tile"] for r in tiles.select("tile").collect()]] = True
+    tasks = sum(n * max(1, (until[p] - first[p]) // step) for p, n in sizes.items()) // 16
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for mine, start, end in zip(frame["tile"].tolist(), frame["start"].tolist(), frame["end"].tolist()):
+                ids, fps, wide = _tile(f"{root}/{mine}")
+                for other in range(start, end):
+                    if not have[other]:
+                        continue
+                    same = other == mine
+                    ids2, fps2, wide2 = (ids, fps, wide) if same else _tile(f"{root}/{other}")
+                    left, right = forest(fps, ids, fps2, ids2, radius, same, (wide, wide2, all_words) if fits else None)
+                    if len(left):
+                        yield pd.DataFrame({"a": left if long else left.tolist(), "b": right if long else right.tolist()})
+
+    # Rows are alike in cost, so they are dealt round about, some to a task.
+    return runs.repartition(min(100_000, max(4 * spark.sparkContext.defaultParallelism, tasks))).mapInPandas(lean(compare), schema)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """id, component: the smallest id reachable, for every id that has a link.
 
-    Large-star and small-star steps alternate; every step is a settled table."""
+    Large-star and small-star steps alternate until nothing changes; every step is a settled table."""
     edges = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     last = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -176,11 +225,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links of at most radius bits)."""
-    fps = settle(fingerprints(docs, words), "fingerprints")
-    nodes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
-    found = components(links(nodes, radius, tile))
-    named = nodes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return linked(settle(fingerprints(docs, words), "fingerprints"), radius, tile)
+
+
+def linked(fps: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """fps (doc_id, fp) with component_id (smallest doc_id reachable over links of at most radius bits)."""
+    nodes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = components(links(nodes.select(F.col("fp").alias("id"), "fp"), radius, tile))
+    return _named(fps, nodes, found, "fp").select("doc_id", "fp", "component_id")
+
+
+def _named(rows: DataFrame, nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows with component_id, the smallest `least` among the nodes (key, least) of a component; rows may crowd on a node, so they meet a settled table."""
+    placed = nodes.join(found, nodes[key] == found["id"], "left").select(nodes[key], "least", F.coalesce("component", nodes[key]).alias("c"))
+    # Settled, so that the nodes of a large component can be split in the join.
+    low = settle(placed.groupBy("c").agg(F.min("least").alias("component_id")), "least-ids")
+    named = settle(placed.join(low, "c").select(key, "component_id"), "named")
+    return rows.join(named, key)
 
 
 def fingerprint_hex(column: str = "fp"):
@@ -266,14 +327,15 @@ def confirmed(ids: np.ndarray, sets: list[np.ndarray], split: int, similarity: f
     return ids[np.array(left, np.int64)], ids[np.array(right, np.int64)]
 
 
-def similar_links(docs: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
-    """A spanning set of links (a, b) between ids of one group whose shingle sets have at least this Jaccard similarity.
+def similar_links(texts: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
+    """A spanning set of links (a, b) between nodes of one group whose shingle sets have at least this Jaccard similarity.
 
-    docs: doc_id, text; groups: id, component.  A group is cut into blocks of
+    texts: id, text; groups: id, component.  A group is cut into blocks of
     texts, and each pair of its blocks is one task's, so no group is too large."""
+    kind, long = kind_of(texts, "id"), kind_of(texts, "id") != "binary"
     parts = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     placed = groups.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    met = docs.join(placed, F.col("doc_id") == F.col("id")).select("id", "text", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    met = texts.join(placed, "id").select("id", "text", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     pairs = met.select("component", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "text")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
@@ -281,39 +343,58 @@ def similar_links(docs: DataFrame, groups: DataFrame, words: int, similarity: fl
         order = np.argsort(~first, kind="stable")
         split = 0 if first.all() and (frame["lo"] == frame["hi"]).all() else int(first.sum())
         sets = [shingles(t, words) for t in frame["text"].iloc[order]]
-        left, right = confirmed(frame["id"].to_numpy(np.int64)[order], sets, split, similarity)
-        return pd.DataFrame({"a": left, "b": right})
+        ids = frame["id"].to_numpy(np.int64) if long else np.frombuffer(b"".join(frame["id"]), "V16")
+        left, right = confirmed(ids[order], sets, split, similarity)
+        return pd.DataFrame({"a": left if long else left.tolist(), "b": right if long else right.tolist()})
 
-    return pairs.groupBy("component", "lo", "hi").applyInPandas(lean_groups(compare), "a long, b long")
+    return pairs.groupBy("component", "lo", "hi").applyInPandas(lean_groups(compare), f"a {kind}, b {kind}")
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
-    """doc_id, component_id: groups linked by a Jaccard similarity of the sets of word shingles.
+    """doc_id, row (xxhash64 of the text), component (16 bytes) and component_id (its smallest doc_id): groups linked by a Jaccard similarity of the sets of word shingles.
 
     Wide fingerprints give candidates only: the first word is compared tile by
     tile as in links(), and pairs within FIRST_RADIUS are held to
     wide_radius(similarity) over all words.  Inside the groups of candidates
-    every link is then confirmed on the shingle sets themselves."""
+    every link is then confirmed on the shingle sets themselves.  Texts of one
+    set of shingles are one node, named by a digest of the set."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sets = [shingles(t, words) for t in frame["text"]]
             wide = [wide_of(h) for h in sets]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(np.int64), "fp": [int.from_bytes(w[:8], "little", signed=True) for w in wide], "wide": wide, "content": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].reset_index(drop=True), "row": frame["row"].to_numpy(np.int64), "fp": [int.from_bytes(w[:8], "little", signed=True) for w in wide], "wide": wide, "content": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]})
 
-    usable = small_batches(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fps = settle(usable.mapInPandas(lean(run), "doc_id long, fp long, wide binary, content binary"), "wide")
-    # Texts of one set of shingles are one node.
-    nodes = settle(fps.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("wide").alias("wide")), "wide-nodes")
-    groups = components(links(nodes.select("id", "fp", "wide"), FIRST_RADIUS, tile, wide_radius(similarity)))
+    usable = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("row"), F.col("text").cast("string").alias("text"))
+    fps = settle(usable.mapInPandas(lean(run), f"doc_id {kind_of(docs, 'doc_id')}, row long, fp long, wide binary, content binary"), "wide")
+    # One row stands for the texts of a node: the smallest hash, and among its ids the smallest.
+    nodes = settle(fps.groupBy("content").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("wide").alias("wide")), "wide-nodes")
+    groups = components(links(nodes.select(F.col("content").alias("id"), "fp", "wide"), FIRST_RADIUS, tile, wide_radius(similarity)))
     # The smallest id of a group may be missing as a node of its own group.
     groups = settle(groups.union(groups.select(F.col("component").alias("id"), "component")).distinct(), "groups")
-    found = components(similar_links(usable, groups, words, similarity))
-    named = nodes.join(found, "id", "left").select("content", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(named, "content").select("doc_id", "component_id")
+    # The texts of the nodes of groups, one for each: fetched by the hash of the text.
+    wanted = nodes.join(groups.select(F.col("id").alias("content")), "content", "left_semi").select("content", F.col("row").alias("r"))
+    texts = usable.select(F.col("row").alias("r"), "text").join(wanted, "r").groupBy(F.col("content").alias("id")).agg(F.first("text").alias("text"))
+    found = components(similar_links(texts, groups, words, similarity))
+    placed = nodes.join(found, nodes["content"] == found["id"], "left").select("content", "least", F.coalesce("component", "content").alias("component"))
+    low = settle(placed.groupBy("component").agg(F.min("least").alias("component_id")), "least-ids")
+    named = settle(placed.join(low, "component").select("content", "component", "component_id"), "named")
+    return fps.select("doc_id", "row", "content").join(named, "content").select("doc_id", "row", "component", "component_id")
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without the documents whose group of near copies holds a smaller doc_id.  Rows that share an id stand or fall together."""
-    gone = similar(docs, words, similarity).groupBy("doc_id").agg(F.min("component_id").alias("c")).where("c < doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies: that of the smallest doc_id (null ids last), among equal ids of the smallest hash of the text; of rows equal in both, one."""
+    id_, row_, n_ = (fresh(docs, x) for x in ("__id", "__row", "__n"))
+    group = similar(docs, words, similarity)
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    rows = settle(group.groupBy("component", "doc_id", "row").agg(F.count("*").alias("n")), "group-rows")
+    best = settle(rows.groupBy("component").agg(F.min(rank).alias("best"), F.sum("n").alias("size")).where("size > 1"), "best")
+    members = rows.join(best, "component").select(F.col("doc_id").alias(id_), F.col("row").alias(row_), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row") == F.col("best.row"))).alias("stays"), "n")
+    members = settle(members.groupBy(id_, row_).agg(F.min("stays").alias("stays"), F.sum("n").alias("n")), "members")
+    keyed = docs.withColumn(row_, F.xxhash64(F.col("text").cast("string")))
+    on = [F.col("doc_id").eqNullSafe(F.col(id_)), keyed[row_] == F.col(f"m.{row_}")]
+    gone = members.where("not stays or n > 1").alias("m")
+    kept = keyed.join(gone, on, "left_anti").select(*docs.columns)
+    again = keyed.join(members.where("stays and n > 1").alias("m"), on, "left_semi")
+    one = again.withColumn(n_, F.row_number().over(Window.partitionBy("doc_id", row_).orderBy(row_))).where(F.col(n_) == 1)
+    return kept.unionByName(one.select(*docs.columns))
