@@ -4,16 +4,19 @@ HTML is parsed into ordered segments: runs of text, and references to media
 with their captions.  Payloads lie in a media table under the digest of their
 stored form, once for each task that met them; a join on the digest resolves
 the references while position and caption stay with the reference.  What is
-derived from a payload is computed once for each distinct digest, before the
-join, so a payload that a third of the references share is read once and
-never crosses the network.
+derived from a payload is computed once for each distinct digest and settled
+before the join, so a payload that a third of the references share is read
+once for each task that met it and never crosses the network; the settled side
+leaves the references of a hot digest free to be split.
 
 Stored form: an 8-bit RGB PNG 64 samples wide, the payload's bytes row by row.
 
 Defined results: null html gives no segments; a null text is an empty payload,
-padded to one row; references whose digest is not in the table stay with null
-payload columns; repeated rows give repeated segments; other columns are
-ignored; empty tables give empty results.
+padded to one row; a very long text is one tall image; references whose digest
+is not in the table stay with null payload columns; equal texts share one
+stored form, and repeated rows give repeated segments; rows with a null id are
+kept; other columns, whatever their names, are ignored; empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import lean, settle, small_batches
+from quadrille.llm.common import lean, settle
 
 ROW, WIDE = 192, 64
 MEDIA = {"img", "video", "audio", "source", "embed"}
@@ -100,7 +103,7 @@ def sequences(pages: DataFrame, id_column: str, html_column: str = "html") -> Da
             rows = [(i, n, s["kind"], s["text"], s["ref"], s["caption"]) for i, h in zip(frame["id"], frame["html"]) for n, s in enumerate(segments(h))]
             yield pd.DataFrame(rows, columns=["id", "position", "kind", "text", "ref", "caption"])
 
-    return small_batches(pages).select(F.col(id_column).alias("id"), F.col(html_column).alias("html")).mapInPandas(lean(run), f"id {kind}, position int, kind string, text string, ref string, caption string")
+    return pages.select(F.col(id_column).alias("id"), F.col(html_column).alias("html")).mapInPandas(lean(run), f"id {kind}, position int, kind string, text string, ref string, caption string")
 
 
 def _chunk(name: bytes, body: bytes) -> bytes:
@@ -171,7 +174,7 @@ def with_payload(docs: DataFrame) -> DataFrame:
                 met.add(digest)
             yield pd.DataFrame(rows, columns=["doc_id", "html", "digest", "media"])
 
-    return small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(lean(run), f"doc_id {kind}, html string, digest string, media binary")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(lean(run), f"doc_id {kind}, html string, digest string, media binary")
 
 
 def described(media: DataFrame) -> DataFrame:
@@ -186,13 +189,13 @@ def described(media: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return small_batches(media).where("media is not null").select("digest", "media").mapInPandas(lean(run), schema).dropDuplicates(["digest"])
+    return media.where("media is not null").select("digest", "media").mapInPandas(lean(run), schema).dropDuplicates(["digest"])
 
 
 def resolve(segs: DataFrame, media: DataFrame) -> DataFrame:
     """Segments with the columns of described(media) at the references."""
     keyed = segs.withColumn("digest", F.when(F.col("ref").startswith("sha256:"), F.substring("ref", 8, 64)))
-    return keyed.join(described(media), "digest", "left")
+    return keyed.join(settle(described(media), "described"), "digest", "left")
 
 
 def document_media(docs: DataFrame) -> DataFrame:
