@@ -6,14 +6,17 @@ a piece are fixed for good (Martello and Toth): a piece that nothing fits
 beside; a pair that fills a sequence exactly; the largest partner where no two
 pieces fit beside; the largest partner where at most two fit and no two
 together are longer.  What is left is packed by best fit in descending order.
-Equal lengths are handled in bulk, so the plan has a size set by the capacity.
+Equal lengths are handled in bulk: a pair that dominates goes on dominating
+while both lengths last, as fewer pieces leave fewer alternatives, so each
+step uses up a length and the plan has a size set by the capacity.
 
 Pieces are numbered inside their length by (task, place in the task) with a
 prefix sum over tasks, so no length, however frequent, meets in one task.
 
 Defined results: a null or empty text gives the one-token document of the end
-id; repeated rows are packed each; a null doc_id is kept; an empty table gives
-an empty result; other columns are ignored.
+id; a very long text is encoded whole and cut into pieces; equal lengths are
+ties, and repeated rows are packed each; a null doc_id is kept; an empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import lean, settle, small_batches
+from quadrille.llm.common import lean, settle
 
 CAPACITY, END_ID = 2048, 0
 _TOOLS: dict = {}
@@ -84,7 +87,7 @@ def pieces(docs: DataFrame, tools: tuple[str, str, str], capacity: int = CAPACIT
                     k += 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "k", "place"])
 
-    return small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task long, k long, place long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task long, k long, place long")
 
 
 def reduce(count: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -133,8 +136,7 @@ def reduce(count: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...],
                     best = max(best, a + sizes[b])
             pair = k >= best
         if pair:
-            # In bulk only where the argument stays the same for every copy: an exact fill.
-            take((x, k), (count[x] // 2 if k == x else min(count[x], count[k])) if k == room else 1)
+            take((x, k), count[x] // 2 if k == x else min(count[x], count[k]))
             at = x + 1
         # else: x stays for best fit; go on with the next smaller length
     return fixed
