@@ -140,7 +140,3 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    return df
