@@ -138,8 +138,8 @@ def _tile(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def tile_size(n: int, most: int = TILE) -> int:
-    """Fingerprints of a tile: twice the square root of their number, within LEAST and `most`, so that tiles and their size grow together."""
-    return min(most, max(LEAST, 2 * math.isqrt(n)))
+    """Fingerprints of a tile: eight times the square root of their number, within LEAST and `most`, so that tiles and their size grow together."""
+    return min(most, max(LEAST, 8 * math.isqrt(n)))
 
 
 def links(nodes: DataFrame, radius: int, tile: int = TILE, all_words: int | None = None) -> DataFrame:
