@@ -19,7 +19,9 @@ Blocks meet in a tree of fan-in FAN: a node merges the distinct grams of its
 children in one bucket and sends its own on, and the answers come back the
 same way.  So a context that every block has reaches a task FAN times at the
 most, however many blocks there are, and no table of the whole corpus sits in
-one process.  Partitions are as many as there are blocks or buckets.
+one process.  Buckets are wide while few blocks have met and divide as more do,
+so a group holds about two blocks' worth at every level and the number of
+groups, rows and partitions of a level is in proportion to that of the blocks.
 
 Defined results: a null text counts as empty (one end symbol, one end token);
 a very long text is scored whole, in a block of its own size if need be;
@@ -179,6 +181,19 @@ def _chunks(texts: list[bytes]) -> list[list[bytes]]:
     return [texts[a:b] for a, b in zip(at, at[1:]) if b > a]
 
 
+def bucket_of(contexts: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of grams, by the three symbols before the last."""
+    return (((contexts >> U(BITS)) & mask(3)) * U(0x9E3779B97F4A7C15) >> U(40)) % U(buckets)
+
+
+def by_bucket(bucket: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+    """The order by bucket, then by distinct key, or place where there are no keys."""
+    if keys is None:
+        return np.argsort(bucket, kind="stable")
+    order = np.argsort(keys)
+    return order[np.argsort(bucket[order].astype(np.uint32), kind="stable")]
+
+
 def block_grams(texts: list[bytes], train: np.ndarray, order: int, buckets: int):
     """A block's distinct grams by (bucket, gram): grams, counts, buckets; and for each chunk of its texts the places in these of its symbols and the start of each text."""
     parts, at = [], 0
@@ -191,8 +206,8 @@ def block_grams(texts: list[bytes], train: np.ndarray, order: int, buckets: int)
         at += len(own)
     codes, uniq = pd.factorize(np.concatenate([p[1] for p in parts]))
     n = np.bincount(codes, weights=np.concatenate([p[2] for p in parts]), minlength=len(uniq)).astype(np.int64)
-    bucket = (((uniq >> U(BITS)) & mask(3)) * U(0x9E3779B97F4A7C15) >> U(40)) % U(buckets)
-    by = np.lexsort((uniq, bucket))
+    bucket = bucket_of(uniq, buckets)
+    by = by_bucket(bucket, uniq)
     place = np.empty(len(by), np.int32)
     place[by] = np.arange(len(by))
     places = np.split(place[codes], np.cumsum([len(p[1]) for p in parts])[:-1])
@@ -250,20 +265,39 @@ def vocabulary(rows: DataFrame, buckets: int) -> int:
     return sent.groupBy("bucket").applyInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def merged(kind: int, keys: list[bytes], counts: list[bytes], width: type) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray | list[bytes]]:
-    """Of the children of a node: for each of their keys the place among the node's own, where the children begin, the node's counts and its keys."""
+def merged(kind: int, keys: list[bytes], counts: list[bytes], width: type, buckets: int) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray | list[bytes], np.ndarray]:
+    """Of the children of a node: for each of their keys the place among the node's own, where the children begin, the node's counts, its keys and their buckets, in whose order they are."""
     n = [np.frombuffer(x, width) for x in counts]
     cut, n = np.cumsum([len(c) for c in n])[:-1].tolist(), np.concatenate(n).astype(np.int64)
     if kind == 0:
         codes, uniq = pd.factorize(np.concatenate([np.frombuffer(x, np.uint64) for x in keys]))
-        by = np.argsort(uniq)
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by))
-        codes, uniq = rank[codes], uniq[by]
+        bucket = bucket_of(uniq, buckets).astype(np.int64)
+        by = by_bucket(bucket, uniq)
+        uniq = uniq[by]
     else:
         coded = pa.concat_arrays([pa.array(x.split(b" "), pa.large_binary()) for x in keys]).dictionary_encode()
         uniq, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    return codes, cut, np.bincount(codes, weights=n, minlength=len(uniq)).astype(np.int64), uniq
+        bucket = np.fromiter(map(zlib.crc32, uniq), np.int64, len(uniq)) % buckets
+        by = by_bucket(bucket)
+        uniq = [uniq[i] for i in by.tolist()]
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    codes = rank[codes]
+    return codes, cut, np.bincount(codes, weights=n, minlength=len(uniq)).astype(np.int64), uniq, bucket[by]
+
+
+def tree(blocks: int, buckets: int, fan: int) -> list[tuple[int, int, int]]:
+    """The levels between the blocks and the last buckets: nodes, buckets that one of the level covers, partitions.
+
+    What fan**l blocks send is cut into half as many buckets (all of them, once there are no more), by powers of two, so
+    that those of one level lie inside those of the level before."""
+    levels, nodes = [], blocks
+    while nodes > fan:
+        nodes = -(-nodes // fan)
+        wanted = max(1, fan ** (len(levels) + 1) // 2)
+        cover = 1 << max(0, (buckets // wanted).bit_length() - 1)
+        levels.append((nodes, cover, min(100_000, max(8, min(blocks, -(-buckets // cover) * nodes)))))
+    return levels
 
 
 def score(docs: DataFrame, train, order: int = ORDER, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
@@ -280,18 +314,21 @@ def score(docs: DataFrame, train, order: int = ORDER, block_bytes: int = BLOCK_B
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     short = docs.sparkSession.sparkContext.broadcast(low)
 
+    levels = tree(blocks, buckets, fan)
+    covers = [*(cover for _, cover, _ in levels), 1]
+
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
         texts, own = [_bytes(t) for t in frame["text"]], frame["train"].to_numpy(bool)
         block = int(frame["block"].iloc[0])
         g, n, b, _ = block_grams(texts, own, order, buckets)
-        out = [(0, x, block, g[a:z].tobytes(), n[a:z].astype(np.int32).tobytes()) for x, a, z in _runs(b)]
+        out = [(0, x, block, g[a:z].tobytes(), n[a:z].astype(np.int32).tobytes()) for x, a, z in _runs(b // covers[0])]
         w, n, b, _, _ = block_words(texts, own, buckets)
-        out += [(1, x, block, b" ".join(w[a:z]), n[a:z].astype(np.int32).tobytes()) for x, a, z in _runs(b)]
+        out += [(1, x, block, b" ".join(w[a:z]), n[a:z].astype(np.int32).tobytes()) for x, a, z in _runs(b // covers[0])]
         return pd.DataFrame(out, columns=["kind", "bucket", "child", "keys", "counts"])
 
     def answer(frame: pd.DataFrame, width: type) -> pd.DataFrame:
         kind = int(frame["kind"].iloc[0])
-        codes, cut, total, uniq = merged(kind, [*frame["keys"]], [*frame["counts"]], width)
+        codes, cut, total, uniq, _ = merged(kind, [*frame["keys"]], [*frame["counts"]], width, buckets)
         if kind == 0:
             have = total > 0
             found = Trie((uniq[have], total[have]), order, short.value).log10(uniq)[codes].astype(np.float32)
@@ -299,32 +336,31 @@ def score(docs: DataFrame, train, order: int = ORDER, block_bytes: int = BLOCK_B
             found = total[codes]
         return pd.DataFrame({"kind": frame["kind"], "bucket": frame["bucket"], "child": frame["child"], "found": [x.tobytes() for x in np.split(found, cut)]})
 
-    def merge(frame: pd.DataFrame, width: type) -> pd.DataFrame:
+    def merge(frame: pd.DataFrame, width: type, cover: int) -> pd.DataFrame:
         frame = frame.sort_values("child")
-        kind, bucket, node = (int(frame[c].iloc[0]) for c in ("kind", "bucket", "node"))
-        _, _, total, uniq = merged(kind, [*frame["keys"]], [*frame["counts"]], width)
-        return pd.DataFrame([(kind, bucket, node, uniq.tobytes() if kind == 0 else b" ".join(uniq), total.tobytes())], columns=["kind", "bucket", "child", "keys", "counts"])
+        kind, node = (int(frame[c].iloc[0]) for c in ("kind", "node"))
+        _, _, total, uniq, b = merged(kind, [*frame["keys"]], [*frame["counts"]], width, buckets)
+        return pd.DataFrame([(kind, x, node, uniq[a:z].tobytes() if kind == 0 else b" ".join(uniq[a:z]), total[a:z].tobytes()) for x, a, z in _runs(b // cover)], columns=["kind", "bucket", "child", "keys", "counts"])
 
     def split(frame: pd.DataFrame, found: pd.DataFrame, width: type) -> pd.DataFrame:
         frame = frame.sort_values("child")
         kind = int(frame["kind"].iloc[0])
-        codes, cut, _, _ = merged(kind, [*frame["keys"]], [*frame["counts"]], width)
-        own = np.frombuffer(found["found"].iloc[0], np.int64 if kind else np.float32)[codes]
+        codes, cut, _, _, _ = merged(kind, [*frame["keys"]], [*frame["counts"]], width, buckets)
+        own = np.frombuffer(b"".join(found.sort_values("part")["found"]), np.int64 if kind else np.float32)[codes]
         return pd.DataFrame({"kind": frame["kind"], "bucket": frame["bucket"], "child": frame["child"], "found": [x.tobytes() for x in np.split(own, cut)]})
 
     sent, found_schema = "kind int, bucket int, child int, keys binary, counts binary", "kind int, bucket int, child int, found binary"
     children = dealt.groupBy("block").applyInPandas(lean_groups(ask), sent)
-    nodes, levels, width = blocks, [], np.int32
-    while nodes > fan:
-        nodes = -(-nodes // fan)
-        placed = children.withColumn("node", F.floor(F.col("child") / fan).cast("int")).repartition(min(100_000, buckets * nodes), "kind", "bucket", "node")
-        levels.append((placed, width, min(100_000, buckets * nodes)))
-        children = placed.groupBy("kind", "bucket", "node").applyInPandas(lean_groups(lambda frame, w=width: merge(frame, w)), sent)
+    met, width = [], np.int32
+    for (_, cover, parts), below in zip(levels, covers[1:]):
+        placed = children.withColumn("node", F.floor(F.col("child") / fan).cast("int")).repartition(parts, "kind", "bucket", "node")
+        met.append((placed, width, parts, cover // below))
+        children = placed.groupBy("kind", "bucket", "node").applyInPandas(lean_groups(lambda frame, w=width, c=below: merge(frame, w, c)), sent)
         width = np.int64
     answers = children.repartition(buckets, "kind", "bucket").groupBy("kind", "bucket").applyInPandas(lean_groups(lambda frame, w=width: answer(frame, w)), found_schema)
     on = ["kind", "bucket", "node"]
-    for placed, width, parts in reversed(levels):
-        known = answers.withColumnRenamed("child", "node").repartition(parts, *on)
+    for placed, width, parts, each in reversed(met):
+        known = answers.select("kind", F.floor(F.col("bucket") / each).cast("int").alias("bucket"), F.col("child").alias("node"), F.col("bucket").alias("part"), "found").repartition(parts, *on)
         answers = placed.groupBy(*on).cogroup(known.groupBy(*on)).applyInPandas(lean_groups(lambda frame, found, w=width: split(frame, found, w)), found_schema)
     answers = answers.withColumnRenamed("child", "block").repartition(blocks, "block")
 

@@ -542,3 +542,32 @@ def test_pipeline_stages(spark):
     assert {*packed.doc_id} == ids and 0 < len(ids) < docs.count()
     labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
     assert isinstance(packed, pd.DataFrame) and len(ids & {*labels.doc_id[labels.quality == 1]}) > 0.7 * (labels.quality == 1).sum()
+
+
+def test_ppm_levels_follow_the_blocks():
+    """Groups, and the rows and partitions that come with them, are in proportion to the blocks; the buckets of one level lie inside those of the level before."""
+    for blocks in (20, 95, 1131, 5550, 40_000):
+        buckets = blocks // 2
+        levels = ppm.tree(blocks, buckets, ppm.FAN)
+        below = [*(cover for _, cover, _ in levels[1:]), 1]
+        for (nodes, cover, parts), finer in zip(levels, below):
+            assert parts <= blocks
+            assert 2 * nodes * -(-buckets // cover) <= 4 * blocks
+            assert cover % finer == 0
+        assert not levels or levels[-1][0] <= ppm.FAN
+        assert levels or blocks <= ppm.FAN
+
+
+def test_ppm_wide_buckets_divide(spark):
+    """Levels whose buckets cover several of the last ones give what one level gives."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["lorem", "Ipsum", "dolor", "sit", "a", "é", "zzz", str(i)]) for _ in range(rng.randrange(30)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = ppm.tree(150, 75, 4)
+    assert any(cover > 1 for _, cover, _ in parts) and len(parts) > 1
+    size = sum(len(t.encode()) for _, t in rows) // 150
+    one = ppm.score(df, F.col("doc_id") % 4 != 0).toPandas().set_index("doc_id").sort_index()
+    tree = ppm.score(df, F.col("doc_id") % 4 != 0, block_bytes=size, fan=4).toPandas().set_index("doc_id").sort_index()
+    for c in ("held_out", "n_tokens", "n_known", "train_tokens"):
+        assert (one[c] == tree[c]).all()
+    assert np.allclose(one["score"], tree["score"], rtol=1e-9) and np.allclose(one["base_score"], tree["base_score"], rtol=1e-9)
