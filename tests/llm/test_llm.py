@@ -571,3 +571,71 @@ def test_ppm_wide_buckets_divide(spark):
     for c in ("held_out", "n_tokens", "n_known", "train_tokens"):
         assert (one[c] == tree[c]).all()
     assert np.allclose(one["score"], tree["score"], rtol=1e-9) and np.allclose(one["base_score"], tree["base_score"], rtol=1e-9)
+
+
+def test_similar_keys_follow_the_similarity():
+    rng = np.random.default_rng(3)
+    share = {}
+    for j in (0.8, 0.4):
+        equal = []
+        for _ in range(200):
+            n = 300
+            both = round(2 * j / (1 + j) * n)
+            pool = rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
+            equal.append(simhash.bands_of(pool[:n]) == simhash.bands_of(np.concatenate([pool[:both], pool[n : 2 * n - both]])))
+        share[j] = np.mean(equal)
+        assert j < 0.8 or all(e.any() for e in equal)
+    assert abs(share[0.8] - 0.8**simhash.ROWS) < 0.04 and abs(share[0.4] - 0.4**simhash.ROWS) < 0.02
+
+
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 3])
+def test_candidates_span_the_near_pairs(spark, monkeypatch, bucket):
+    """Of nodes that share a key: the components of the candidates are those of all near pairs, whole buckets or in blocks."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = np.random.default_rng(4)
+    rows, wides = [], []
+    for i in range(90):
+        wide = np.zeros(64 * simhash.WIDE, np.uint8) if i % 10 == 0 else wides[-1].copy()
+        at = rng.integers(0, len(wide), 200 if i % 10 == 0 else 20)
+        wide[at] ^= 1
+        wides.append(wide)
+        rows.append((i.to_bytes(16, "big"), np.packbits(wide).tobytes(), [7 if i < 60 else i, *(1000 * k + i // 10 for k in range(2, simhash.BANDS + 1))]))
+    df = spark.createDataFrame(rows, "id binary, wide binary, bands array<int>")
+    root = list(range(90))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(range(90), 2):
+        if (a < 60 and b < 60 or a // 10 == b // 10) and int((wides[a] != wides[b]).sum()) <= 60:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    want = [find(i) for i in range(90)]
+    edges = [(int.from_bytes(x["a"], "big"), int.from_bytes(x["b"], "big")) for x in simhash.candidates(df, 60).collect()]
+    assert all(int((wides[a] != wides[b]).sum()) <= 60 for a, b in edges)
+    root = list(range(90))
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    got = [find(i) for i in range(90)]
+    assert got == want and 9 <= len(set(got)) < 90
+
+
+def test_near_copies_meet_by_keys_alone(spark, monkeypatch):
+    """Texts are not compared tile by tile: the stage forms no tiles, and rows that it does not concern are not dealt out again."""
+    monkeypatch.setattr(simhash, "links", lambda *a, **b: pytest.fail("all pairs of tiles"))
+    words = [f"w{i}" for i in range(4000)]
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(words, k=60))) for i in range(200)]
+    rows += [(1000 + i, t + " more") for i, t in rows[:20]] + [(None, rows[30][1]), (5, rows[5][1])]
+    out = sorted(((x["doc_id"], x["text"]) for x in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert out == sorted(rows[:200])
+
+
+def test_sieve_keeps_all_that_is_wanted(spark):
+    df = spark.range(5000).select("id", (F.col("id") * 977 - 10_000).alias("word"))
+    keys = df.where("id % 50 = 0").select(F.col("word").alias("k"))
+    some = {x["id"] for x in simhash.sieved(df, "word", keys, "k").collect()}
+    rest = {x["id"] for x in simhash.sieved(df, "word", keys, "k", "left_anti").collect()}
+    assert set(range(0, 5000, 50)) <= some and len(some) < 120
+    assert not some & rest and len(some | rest) == 5000
