@@ -622,7 +622,7 @@ def test_candidates_span_the_near_pairs(spark, monkeypatch, bucket):
 
 
 def test_near_copies_meet_by_keys_alone(spark, monkeypatch):
-    """Texts are not compared tile by tile: the stage forms no tiles, and rows that it does not concern are not dealt out again."""
+    """Texts are not compared tile by tile."""
     monkeypatch.setattr(simhash, "links", lambda *a, **b: pytest.fail("all pairs of tiles"))
     words = [f"w{i}" for i in range(4000)]
     rng = random.Random(6)
@@ -639,3 +639,29 @@ def test_sieve_keeps_all_that_is_wanted(spark):
     rest = {x["id"] for x in simhash.sieved(df, "word", keys, "k", "left_anti").collect()}
     assert set(range(0, 5000, 50)) <= some and len(some) < 120
     assert not some & rest and len(some | rest) == 5000
+
+
+def shuffled_rows(plan) -> int:
+    """Rows that the shuffles of an executed plan wrote."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled_rows(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return shuffled_rows(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+    return own + sum(shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_deduplicate_shuffles_copies_alone(spark):
+    """Documents that are nobody's copy are not shuffled, however large the list of copies is to Spark."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(60))) for i in range(400)]
+    rows += [(1000 + i, t + " more") for i, t in rows[:10]] + [(5, rows[5][1])]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted((x["doc_id"], x["text"]) for x in out.collect()) == sorted(rows[:400])
+        assert 0 < shuffled_rows(out._jdf.queryExecution().executedPlan()) < 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
